@@ -8,8 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, lm, sharding, simhash, substring, suffix
-from quern.llm.common import shared_dir, table
+from quern.llm import bpe, chat, contamination, cotrain, lm, quality, sharding, simhash, substring, suffix
+from quern.llm.common import table
+from quern.llm.oracles import ORACLES
+
+
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.transform("mask", lambda r: F.concat(r.n.cast("string"), F.when(r.train, "t").otherwise("-")))
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(runs, " "))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.apply_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.find(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", "n_near")
+
+
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +65,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_rotation": op1_chat_rotation,
+        "op2_quality_rules": op2_quality_rules,
+        "op3_decontamination": op3_decontamination,
+        "op4_cotraining": op4_cotraining,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_bpe": op6_bpe,
         "op7_lm_scoring": op7_lm_scoring,
@@ -53,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
