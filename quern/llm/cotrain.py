@@ -238,8 +238,8 @@ def platt(score: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float,
     n, target = good + bad, (bad + 0.5) / (good + bad + 1)
     w = np.zeros(2)
     x = np.stack([score, np.ones_like(score)], 1)
-    if not n.sum():
-        return 0.0, 0.0
+    if not n.sum():  # nothing is known, so nothing is rejected
+        return 0.0, -30.0
     penalty = np.diag([1.0, 1e-3])
     for _ in range(100):
         p = _sigmoid(x @ w)

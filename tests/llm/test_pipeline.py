@@ -1,0 +1,38 @@
+"""The pipeline on the smallest tables, each stage on what the one before it kept."""
+
+import corpus_pipeline
+from quern.llm.common import stored, table
+from quern.llm.oracles import ORACLES
+from quern.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = table(spark, SF, "documents")
+    labels = {r.doc_id: r for r in table(spark, SF, "labels").collect()}
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stored(stage(spark, docs, SF))
+        counts.append(docs.count())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == before.columns
+            assert docs.select("doc_id").subtract(before.select("doc_id")).isEmpty()
+        if name == "quality classifier":
+            kept = {r.doc_id for r in docs.select("doc_id").collect()}
+            good = [i for i, r in labels.items() if r.quality == 1 and r.toxic == 0]
+            assert sum(i in kept for i in good) >= 0.9 * len(good)
+    assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0]
+    assert docs.filter("n_tokens <> size(ids)").isEmpty()
+
+
+def test_chat_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    df = queries()["op1_chat_rotation"](spark, SF)
+    cur = con.execute(ORACLES["op1_chat_rotation"])
+    names = [d[0] for d in cur.description]
+    want = sorted(tuple(r[names.index(c)] for c in df.columns) for r in cur.fetchall())
+    assert sorted(tuple(r) for r in df.collect()) == want
