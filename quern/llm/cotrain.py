@@ -258,7 +258,8 @@ def prepare(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("__id"), (1 - F.col("quality").cast("int")).alias("low_quality"), F.col("toxic").cast("int").alias("toxic")
     ).groupBy("__id").agg(*(F.max(t).alias(t) for t in TARGETS))
     found = features(docs)
-    return stored(found.join(own, found.doc_id == F.col("__id"), "left").drop("__id"))
+    # labels grow with the documents: the same join at every size, never a broadcast
+    return stored(found.join(own.hint("merge"), found.doc_id == F.col("__id"), "left").drop("__id"))
 
 
 def fit(data: DataFrame, rounds: int = ROUNDS, most: int = MAX_TRAINING) -> Model:
