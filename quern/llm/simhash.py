@@ -103,7 +103,7 @@ def tree_links(points: np.ndarray, radius: int = RADIUS, leaf: int = _LEAF) -> l
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, rows_per_task: int = 200_000) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, rows_per_task: int = 50_000) -> DataFrame:
     """Edges (u, v), u < v, between distinct fingerprints; they connect all that lie within the radius."""
     n = pieces(nodes.count() * (radius + 2) * (radius + 1) // 2, rows_per_task)
 
