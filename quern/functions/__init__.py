@@ -1,0 +1 @@
+"""Scalar functions and casts are lowered as text in quern.plans.lowering; none needs a Python function."""

@@ -1,0 +1 @@
+"""No operator of the dialect is a streaming one; its sources and queries are plain DataFrames, so Spark's own readStream applies."""
