@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, chat, contamination, cotrain, lm, quality, sharding, simhash, substring, suffix
-from quern.llm.common import table
+from quern.llm.common import shared_dir, table
 from quern.llm.oracles import ORACLES
 
 
@@ -58,7 +59,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.records(table(spark, sf_dir, "documents"))
     loads = sharding.slot_bytes(found)
-    slot_map = sharding.build_map(loads)
+    maps = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    sharding.save_map(spark, maps, sharding.build_map(loads), 1)
+    _, slot_map = sharding.load_map(spark, maps)
     out = sharding.assign(found, slot_map, loads)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
