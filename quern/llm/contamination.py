@@ -9,7 +9,8 @@ anchors within twice the item's length, in any order.
 
 The benchmark's terms and anchors are broadcast only if counted below BROADCAST_ROWS, else joined by a
 shuffle. Documents and items are told apart by a hash of id and text, so repeated ids do no harm. Null or
-empty text: no words. An item with a null id is not searched for.
+empty text: no words. An item with a null id is not searched for. The documents' own columns travel under
+numbers, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import stored
 
 WINDOW, BROADCAST_ROWS, NEAR = 10, 100_000, 0.6
+RESULTS = ("n_words", "n_hit", "item_ids", "n_near", "near_ids", "contaminated")
 
 
 def words(text: str | Column) -> Column:
@@ -60,7 +62,21 @@ def anchors_of(items: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: float = NEAR) -> DataFrame:
-    """All columns of docs, then n_words, n_hit, item_ids (sorted), n_near, near_ids, contaminated."""
+    """The columns of docs, then RESULTS (item_ids and near_ids sorted), which replace columns of these names."""
+    own = [F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in RESULTS]
+    return _search(docs, benchmark, window, near).select(*own, *RESULTS)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: float = NEAR) -> DataFrame:
+    """The documents that hold no benchmark window, with exactly their own columns."""
+    own = [F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return _search(docs, benchmark, window, near).filter("not contaminated").select(*own)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, near: float) -> DataFrame:
+    """The columns of docs as __c0, __c1 and so on, and RESULTS."""
+    place = {c: F.col(f"__c{i}") for i, c in enumerate(docs.columns)}
+    numbered = docs.toDF(*(f"__c{i}" for i in range(len(docs.columns)))).withColumn("__doc", F.xxhash64(place["doc_id"], place["text"]))
     items = stored(items_of(benchmark, window))
     terms = stored(items.select(F.explode("item_words").alias("word")).select(F.xxhash64("word").alias("term")).distinct())
     index = build_index(docs, _small(terms))
@@ -74,8 +90,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: floa
     close = close.filter((F.col("of") >= 3) & (F.col("n") >= F.ceil(F.col("of") * near))).select("item", "doc").distinct()
     close = close.join(items, "item").select("doc", F.lit(None).cast(dict(exact.dtypes)["exact"]).alias("exact"), F.col("item_id").alias("near"))
     found = exact.unionByName(close).groupBy("doc").agg(F.collect_list("exact").alias("__exact"), F.sort_array(F.collect_set("near")).alias("__near"))
-    joined = docs.withColumn("__doc", F.xxhash64("doc_id", "text")).join(found.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    joined = joined.select(*(F.col(f"`{c}`") for c in docs.columns), words("text").alias("__words"), "__exact", "__near")
+    joined = numbered.join(found.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    joined = joined.select(*place.values(), words(place["text"]).alias("__words"), "__exact", "__near")
 
     def starts(a: Column) -> Column:
         """The starts, in the item, of its windows that occur at this alignment."""

@@ -41,7 +41,7 @@ class Shards:
 
     def __init__(self, docs: DataFrame, carry: Iterable[str] = ()):
         self.n = pieces(plan_bytes(docs), SHARD_BYTES)
-        columns = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
+        columns = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)]
         self.docs = docs.select(
             F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int").alias("shard"),
             F.col("doc_id").cast("long").alias("doc_id"),

@@ -61,7 +61,8 @@ class _Words:
 def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (removed word ranges), text after removal, and carried columns.
 
-    text is unchanged where nothing is removed, else the kept words joined by one space.
+    text is unchanged where nothing is removed, else the kept words joined by one space. A carried column takes
+    the place of a result of the same name.
     """
     shards = Shards(docs, carry)
     n = shards.n
@@ -150,7 +151,9 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int =
     recurring = shards.decide(shards.first(phrases), "u1", _recurs)
     smaller = shards.decide(shards.again(recurring, candidates), "i8", _elsewhere)
     out = shards.again(smaller, removed, schema)
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "text", *(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)))
+    taken = {c.lower() for c in carry}
+    own = [c for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "text") if c not in taken]
+    return out.select(*own, *(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

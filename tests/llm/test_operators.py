@@ -222,6 +222,11 @@ def test_decontamination(spark, docs, rows, empty):
     found = contamination.find(docs.withColumnRenamed("__doc", "item"), bench)
     same(found, want, "doc_id", "n_words", "n_hit", "item_ids", "contaminated", "item")
     assert found.filter("n_hit > 20 and n_near = 0").count() == 0
+    clashing = docs.withColumnsRenamed({"shard": "n_hit", "lang": "contaminated"})
+    same(contamination.find(clashing, bench), want, "doc_id", "n_words", "n_hit", "item_ids", "contaminated", "__doc")
+    kept = contamination.clean(clashing, bench)
+    assert kept.columns == clashing.columns
+    same(kept, [(r[0], r[1], r[2], r[3], r[5]) for r, w in zip(rows, want) if not w[4]], "doc_id", "text", "contaminated", "source", "n_hit")
     assert contamination.find(empty.drop("__doc"), bench).count() == 0 and contamination.find(docs.drop("__doc"), bench.limit(0)).filter("contaminated").count() == 0
 
 

@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables, each stage on what the one before it kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quern.llm.common import stored, table
 from quern.llm.oracles import ORACLES
@@ -26,6 +28,22 @@ def test_stages(spark):
     assert docs.filter("n_tokens <> size(ids)").isEmpty()
 
 
+def test_stages_with_clashing_columns_nulls_and_no_rows(spark):
+    names = ["n_words", "n_hit", "contaminated", "spans", "kept_sha256", "shard", "component_id", "fp", "toxic", "content", "__doc", "__words"]
+    docs = table(spark, SF, "documents").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b", "en", None, 3), (7, "", None, "web", 0)], docs.schema)
+    docs = docs.union(odd).select("*", *(F.concat_ws("/", F.lit(c), "doc_id").alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF))
+        assert docs.columns[5:] == names
+        assert docs.filter(" or ".join(f"{c} <> concat_ws('/', '{c}', doc_id)" for c in names)).isEmpty()
+        assert docs.filter("doc_id is null").count() == 2
+    none = table(spark, SF, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stored(stage(spark, none, SF))
+        assert none.isEmpty()
+
+
 def test_chat_oracle(spark):
     import duckdb
 
