@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -276,14 +277,7 @@ class Session:
         if unknown := [c for c in chosen if c not in by_name]:
             raise BindError(f"unknown column {unknown[0]!r}")
         if s.parts["rows"] is not None:
-            rows, order = [], 0
-            for row in s.parts["rows"]:
-                if len(row) != len(chosen):
-                    raise BindError(f"{len(row)} values for {len(chosen)} columns")
-                values = [lowering.expr(v, Scope([])) for v in row]
-                rows.append(", ".join([f"{order}L AS __ord", *(f"{self.coerced(x, k, by_name[c]['type'])} AS {quote(by_name[c]['name'])}" for c, (x, k) in zip(chosen, values))]))
-                order += 1
-            given = self.spark.sql(" UNION ALL ".join(f"SELECT {r}" for r in rows))
+            given = self.values(s.parts["rows"], [by_name[c] for c in chosen], lowering)
         else:
             source = lowering.query(s.parts["query"])
             if len(source.columns) != len(chosen):
@@ -309,6 +303,27 @@ class Session:
         self.write(manifest, table, final)
         return given.count() if affected is None else affected
 
+    def values(self, rows: list, columns: list[dict], lowering: Lowering) -> DataFrame:
+        """VALUES as (__ord, columns). Rows of constants travel as data, so their number does not grow the plan."""
+        constants: dict[tuple, list] = {}
+        computed = []
+        for order, row in enumerate(rows):
+            if len(row) != len(columns):
+                raise BindError(f"{len(row)} values for {len(columns)} columns")
+            known = [_known(v, lowering.params) for v in row]
+            if None in known:
+                items = (f"{self.coerced(*lowering.expr(v, Scope([])), c['type'])} AS {quote(c['name'])}" for v, c in zip(row, columns))
+                computed.append(f"SELECT {order}L AS __ord, {', '.join(items)}")
+            else:
+                constants.setdefault(tuple(k for _, k in known), []).append((order, *(v for v, _ in known)))
+        parts = [self.spark.sql(" UNION ALL ".join(computed[i : i + 50])).coalesce(1) for i in range(0, len(computed), 50)]
+        for kinds, data in constants.items():
+            names = [f"__v{i}" for i in range(len(kinds))]
+            schema = ", ".join(["__ord BIGINT", *(f"{n} {SPARK[k] if k != 'NULL' else 'STRING'}" for n, k in zip(names, kinds))])
+            items = (f"{self.coerced(n, k, c['type'])} AS {quote(c['name'])}" for n, k, c in zip(names, kinds, columns))
+            parts.append(self.spark.createDataFrame(data, schema).selectExpr("__ord", *items))
+        return reduce(DataFrame.union, parts)
+
     def numbered(self, given: DataFrame, column: str, table: dict) -> DataFrame:
         """Fills null ids in input order: one more than the largest id so far, explicit ids included.
 
@@ -465,6 +480,24 @@ def _has(node, *kinds: str) -> bool:
     return isinstance(node, (tuple, list)) and (bool(node) and node[0] in kinds or any(_has(x, *kinds) for x in node))
 
 
+def _known(node, params: list) -> tuple[object, str] | None:
+    """(value, type) of a constant, or None for all other expressions."""
+    kind = node[0]
+    if kind == "param":
+        v = params[int(node[1]) - 1] if 0 < int(node[1]) <= len(params) else ()
+        of = {type(None): "NULL", bool: "BOOLEAN", int: "INTEGER", float: "REAL", bytes: "BLOB", str: "TEXT"}.get(type(v))
+        return (v, of) if of and (of != "INTEGER" or -(2**63) <= v < 2**63) else None
+    if kind == "minus":
+        found = _known(node[1], params)
+        return (-found[0], found[1]) if found and found[1] in ("INTEGER", "REAL") else None
+    if kind == "int":
+        return (int(node[1]), "INTEGER") if int(node[1]) < 2**63 else None
+    if kind == "constant":
+        return (None, "NULL") if node[1] == "null" else (node[1] == "true", "BOOLEAN")
+    known = {"float": (float, "REAL"), "text": (str, "TEXT"), "blob": (bytes.fromhex, "BLOB")}.get(kind)
+    return (known[0](node[1]), known[1]) if known else None
+
+
 def _columns(node):
     if isinstance(node, (tuple, list)):
         if node and node[0] == "column":

@@ -62,6 +62,20 @@ def test_insert_select_with_cte(s):
     assert rows(s, "SELECT * FROM b ORDER BY id") == [(2, 40), (3, 60)]
 
 
+def test_insert_of_many_values(s):
+    s.execute("CREATE TABLE m (id INTEGER PRIMARY KEY AUTOINCREMENT, name TEXT, x REAL, j JSON, b BLOB)")
+    values = ", ".join(f"(NULL, 'it''s {i}', {-i if i % 2 else i}, {'NULL' if i % 3 else chr(39) + '[1,  2]' + chr(39)}, x'0{i % 10}')" for i in range(3000))
+    assert s.execute(f"INSERT INTO m VALUES {values}").affected == 3000
+    assert rows(s, "SELECT count(*), sum(x), count(j), min(j), max(id) FROM m") == [(3000, -1500.0, 1000, "[1,2]", 3000)]
+    assert rows(s, "SELECT name, x, b FROM m WHERE id = 8") == [("it's 7", -7.0, b"\x07")]
+    assert s.execute("INSERT INTO m VALUES (9000, upper($1), 1 + 1, NULL, $2), (-1, $1, $3, NULL, NULL)", ["é", b"z", 2.5]).affected == 2
+    assert rows(s, "SELECT id, name, x, b FROM m WHERE id < 0 OR id > 5000 ORDER BY id") == [(-1, "é", 2.5, None), (9000, "É", 2.0, b"z")]
+    more = ", ".join(f"({10000 + i} + 0, 'n', {i}, NULL, NULL)" for i in range(120))
+    assert s.execute(f"INSERT INTO m VALUES {more}").affected == 120
+    with pytest.raises(BindError):
+        s.execute("INSERT INTO m (id, name) VALUES (1, 'a'), (2)")
+
+
 def test_upsert_rounds(s):
     s.execute("CREATE TABLE kv (k INTEGER PRIMARY KEY, v INTEGER)")
     s.execute("INSERT INTO kv VALUES (1, 1)")
