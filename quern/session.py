@@ -187,7 +187,7 @@ class Session:
             raise BindError("AUTOINCREMENT needs one INTEGER primary key")
         for c in columns:
             c["default"] = self.constant(c["default"], c["type"])
-        manifest["tables"][s.name.lower()] = {"name": s.name, "columns": columns, "primary": primary, "unique": unique, "sequence": 0, "next_row": 0, "data": None, "physical": []}
+        manifest["tables"][s.name.lower()] = {"name": s.name, "columns": columns, "primary": primary, "unique": unique, "sequence": 0, "next_row": 0, "parts": []}
         return 0
 
     def constant(self, node, kind: str) -> str | None:
@@ -212,10 +212,11 @@ class Session:
             raise BindError("a key cannot be added")
         column["default"] = self.constant(column["default"], column["type"])
         table["columns"].append(column)
-        # a column dropped before may still be in the snapshot under this name
-        table["physical"] = [p for p in table["physical"] if p.lower() != column["name"].lower()]
+        _forget(table, column["name"])  # a column dropped before may still be in a part under this name
         if column["unique"]:
             table["unique"].append([column["name"]])
+        if table["parts"] and (column["unique"] or column["required"]):  # INSERT checks its own rows only
+            self.check(manifest, table, self.current(table))
         return 0
 
     def drop_column(self, manifest: dict, s: Statement, params) -> int:
@@ -224,7 +225,7 @@ class Session:
         if name in keyed or any(i["table"] == s.name.lower() and name in i["reads"] for i in manifest["indexes"].values()):
             raise BindError(f"column {name!r} is part of a key or index")
         table["columns"] = [c for c in table["columns"] if c["name"].lower() != name]
-        table["physical"] = [p for p in table["physical"] if p.lower() != name]
+        _forget(table, name)
         return 0
 
     def create_index(self, manifest: dict, s: Statement, params) -> int:
@@ -245,7 +246,7 @@ class Session:
             exprs.append({"sql": sql, "json": kind == "JSON"})
         reads = sorted({str(p).lower() for node in s.parts["exprs"] for p in _columns(node)})
         index = {"name": s.name, "table": s.parts["table"].lower(), "exprs": exprs, "unique": s.parts["unique"], "reads": reads}
-        if table["data"]:
+        if table["parts"]:
             self.check_index(self.spark.sql(f"SELECT * FROM {relation(table).sql} AS t"), index)
         manifest["indexes"][s.name.lower()] = index
         return 0
@@ -297,11 +298,8 @@ class Session:
             given = self.numbered(given, auto, table)
         given = given.select("__ord", *(quote(c["name"]) for c in table["columns"]))
         if s.parts["conflict"]:
-            final, affected = self.upsert(manifest, table, given, s.parts["conflict"], params)
-        else:
-            final, affected = self.appended(table, given), None
-        self.write(manifest, table, final)
-        return given.count() if affected is None else affected
+            return self.upsert(manifest, table, given, s.parts["conflict"], params)
+        return self.append(manifest, table, self.with_row_ids(table, given))
 
     def values(self, rows: list, columns: list[dict], lowering: Lowering) -> DataFrame:
         """VALUES as (__ord, columns). Rows of constants travel as data, so their number does not grow the plan."""
@@ -352,13 +350,35 @@ class Session:
         filled = F.coalesce(id_, F.greatest(first, F.coalesce("__lead", first)) + F.col("__nulls"))
         return data.withColumn(column, filled).drop("__part", "__nulls", "__lead")
 
-    def appended(self, table: dict, new: DataFrame) -> DataFrame:
-        ids = F.lit(table["next_row"]) + F.col("__ord")
-        names = [c["name"] for c in table["columns"]]
-        return self.current(table).unionByName(new.select(ids.alias(ROW_ID), *(quote(n) for n in names)))
+    def with_row_ids(self, table: dict, given: DataFrame) -> DataFrame:
+        return given.select((F.lit(table["next_row"]) + F.col("__ord")).alias(ROW_ID), *(quote(c["name"]) for c in table["columns"]))
+
+    def append(self, manifest: dict, table: dict, new: DataFrame) -> int:
+        """Checks new rows against the rules and the keys of the stored ones, and writes them as a part."""
+        n, last = new.agg(F.count("*"), F.max(ROW_ID)).first()
+        if not n:
+            return 0
+        self.check(manifest, table, new, self.current(table) if table["parts"] else None)
+        merged, total = [], n
+        while table["parts"] and table["parts"][-1]["rows"] <= 2 * total:
+            merged.append(table["parts"].pop())
+            total += merged[-1]["rows"]
+        if merged:
+            new = new.unionByName(self.current(table | {"parts": merged}))
+        self.add_part(table, new, total)
+        table["next_row"] = max(table["next_row"], last + 1)
+        return n
+
+    def add_part(self, table: dict, data: DataFrame, rows: int | None = None) -> None:
+        path = self.engine.catalog.new_part(table["name"])
+        data.write.parquet(path)
+        table["parts"].append({"path": path, "columns": [c["name"] for c in table["columns"]], "rows": rows})
+
+    def upsert(self, manifest: dict, table: dict, given: DataFrame, conflict: dict, params) -> int:
+        """ON CONFLICT, as if row by row: the n-th row of each key is handled in the n-th round.
 
-    def upsert(self, manifest: dict, table: dict, given: DataFrame, conflict: dict, params) -> tuple[DataFrame, int]:
-        """ON CONFLICT, as if row by row: the n-th row of each key is handled in the n-th round."""
+        DO NOTHING adds a part. DO UPDATE works on the stored rows whose keys are given, and joins the others at the end.
+        """
         keys = self.conflict_keys(manifest, table["name"].lower(), table, conflict["target"])
         names = [c["name"] for c in table["columns"]]
         for c in table["columns"]:  # rows that break another rule must fail, conflict or not
@@ -371,20 +391,20 @@ class Session:
         path = shared_folder(self.spark)
         given.withColumn("__rank", rank).write.parquet(path)
         given = self.spark.read.parquet(path)
-        rounds = given.agg(F.max("__rank")).first()[0] or 0
-        state, affected = self.current(table), 0
-        for r in range(1, (rounds if conflict["set"] is not None else min(rounds, 1)) + 1):
-            batch = given.filter(F.col("__rank") == r)
-            new = batch.select((F.lit(table["next_row"]) + F.col("__ord")).alias(ROW_ID), *(quote(n) for n in names))
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(f"t.{quote(k)}") == F.col(f"excluded.{quote(k)}"))
+        stored = self.current(table).alias("t")
+        if conflict["set"] is None:
+            first = self.with_row_ids(table, given.filter("__rank = 1")).alias("excluded")
+            return self.append(manifest, table, first.join(stored, same, "left_anti"))
+        rounds, affected = given.agg(F.max("__rank")).first()[0] or 0, 0
+        touched = given.filter("__rank = 1").select(*(quote(k) for k in keys)).dropna().alias("excluded")
+        others, state = stored.join(touched, same, "left_anti"), self.rewritten(stored.join(touched, same, "left_semi"))
+        for r in range(1, rounds + 1):
+            new = self.with_row_ids(table, given.filter(F.col("__rank") == r))
             old, inc = state.alias("t"), new.alias("excluded")
-            same = F.lit(True)
-            for k in keys:
-                same = same & (F.col(f"t.{quote(k)}") == F.col(f"excluded.{quote(k)}"))
             fresh = inc.join(old, same, "left_anti")
-            if conflict["set"] is None:
-                affected += fresh.count()
-                state = state.unionByName(fresh.select(ROW_ID, *(quote(n) for n in names)))
-                continue
             lowering = self.lowering(manifest, params)
             inner = Scope([("t", columns_of(table))], Scope([("excluded", columns_of(table))]))
             sets = {}
@@ -398,11 +418,14 @@ class Session:
             hit = f"(excluded.{ROW_ID} IS NOT NULL AND coalesce({where}, FALSE))"
             affected += joined.filter(hit).count() + fresh.count()
             kept = joined.selectExpr(f"t.{ROW_ID} AS {ROW_ID}", *(f"CASE WHEN {hit} THEN {sets[n]} ELSE t.{quote(n)} END AS {quote(n)}" if n in sets else f"t.{quote(n)} AS {quote(n)}" for n in names))
-            state = kept.unionByName(fresh.select(ROW_ID, *(quote(n) for n in names)))
-            step = shared_folder(self.spark)
-            state.write.parquet(step)
-            state = self.spark.read.parquet(step)
-        return state, affected
+            state = self.rewritten(kept.unionByName(fresh.select(ROW_ID, *(quote(n) for n in names))))
+        self.write(manifest, table, others.unionByName(state))
+        return affected
+
+    def rewritten(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def conflict_keys(self, manifest: dict, name: str, table: dict, target) -> list[str]:
         plain = [i for i in manifest["indexes"].values() if i["table"] == name and i["unique"] and len(i["reads"]) == len(i["exprs"]) and all(e["sql"].count("`") == 4 for e in i["exprs"])]
@@ -445,35 +468,47 @@ class Session:
         return affected
 
     def write(self, manifest: dict, table: dict, final: DataFrame) -> None:
-        """Writes a new snapshot, checks it, and stages it in the manifest."""
-        path = self.engine.catalog.snapshot(table["name"])
-        final.write.parquet(path)
-        table["data"], table["physical"] = path, [c["name"] for c in table["columns"]]
-        data = self.current(table)
-        table["next_row"] = (data.agg(F.max(ROW_ID)).first()[0] or 0) + 1
+        """Writes the table anew as one part, checks it, and stages it in the manifest."""
+        staged = table | {"parts": []}
+        self.add_part(staged, final)
+        data = self.current(staged)
+        n, last = data.agg(F.count("*"), F.max(ROW_ID)).first()
+        staged["parts"][0]["rows"] = n
+        table["parts"], table["next_row"] = staged["parts"], max(table["next_row"], (last or 0) + 1)
+        self.check(manifest, table, data)
+
+    def check(self, manifest: dict, table: dict, data: DataFrame, stored: DataFrame | None = None) -> None:
+        """All rules on data; keys must not be among the stored rows either, which keep the rules themselves."""
         for keys in [table["primary"], *(table["unique"] if self.engine.enforce else [])]:
             if keys:
-                self.check_unique(data, [quote(k) for k in keys], f"{table['name']}.{', '.join(keys)}")
+                self.check_unique(data, [quote(k) for k in keys], f"{table['name']}.{', '.join(keys)}", stored)
         if self.engine.enforce:
             for c in table["columns"]:
                 if (c["required"] or c["primary"]) and not data.filter(F.col(quote(c["name"])).isNull()).isEmpty():
                     raise ConstraintError(f"NOT NULL constraint failed: {table['name']}.{c['name']}")
         for index in manifest["indexes"].values():
             if index["table"] == table["name"].lower():
-                self.check_index(data.alias("t"), index)
+                self.check_index(data, index, stored)
 
-    def check_unique(self, data: DataFrame, exprs: list[str], what: str) -> None:
-        keyed = data.selectExpr(*(f"{e} AS k{i}" for i, e in enumerate(exprs))).dropna()
-        if not keyed.groupBy(*keyed.columns).count().filter("count > 1").isEmpty():
+    def check_unique(self, data: DataFrame, exprs: list[str], what: str, stored: DataFrame | None = None) -> None:
+        keyed = lambda df: df.alias("t").selectExpr(*(f"{e} AS k{i}" for i, e in enumerate(exprs))).dropna()
+        new = keyed(data)
+        repeated = not new.groupBy(*new.columns).count().filter("count > 1").isEmpty()
+        if repeated or stored is not None and not keyed(stored).join(new, new.columns, "left_semi").isEmpty():
             raise ConstraintError(f"UNIQUE constraint failed: {what}")
 
-    def check_index(self, data: DataFrame, index: dict) -> None:
-        data = data.alias("t")
+    def check_index(self, data: DataFrame, index: dict, stored: DataFrame | None = None) -> None:
         for e in index["exprs"]:
-            if e["json"] and not data.selectExpr(f"{e['sql']} AS k").filter("k LIKE '{%' OR k LIKE '[%'").isEmpty():
+            if e["json"] and not data.alias("t").selectExpr(f"{e['sql']} AS k").filter("k LIKE '{%' OR k LIKE '[%'").isEmpty():
                 raise ConstraintError(f"index {index['name']}: a key must be a scalar")
         if index["unique"]:
-            self.check_unique(data, [e["sql"] for e in index["exprs"]], f"index {index['name']}")
+            self.check_unique(data, [e["sql"] for e in index["exprs"]], f"index {index['name']}", stored)
+
+
+def _forget(table: dict, column: str) -> None:
+    """From now on the table's parts have no column of this name."""
+    for part in table["parts"]:
+        part["columns"] = [c for c in part["columns"] if c.lower() != column.lower()]
 
 
 def _has(node, *kinds: str) -> bool:

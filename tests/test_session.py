@@ -241,3 +241,38 @@ def test_order_null_defaults_and_names(s):
     assert rows(s, "SELECT v FROM t WHERE v IN (SELECT 5) UNION SELECT 9 ORDER BY v DESC") == [(9,), (5,)]
     assert rows(s, 'SELECT id AS "my id" FROM t WHERE id = 1 -- note') == [(1,)]
     assert rows(s, "SELECT a.id FROM t a WHERE a.v = (SELECT max(b.v) FROM t b) AND EXISTS (SELECT 1 FROM t c WHERE c.id = a.id) AND a.v NOT IN (SELECT 7)") == [(2,)]
+
+
+def test_inserts_add_parts_of_falling_sizes(s):
+    parts = lambda: [(p["columns"], p["rows"]) for p in s.manifest()["tables"]["t"]["parts"]]
+    s.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT UNIQUE)")
+    s.execute("INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd'), (5, 'e'), (6, NULL), (7, NULL), (-1, 'o'), (-2, 'p'), (-3, 'q'), (-4, 'r')")
+    s.execute("INSERT INTO t VALUES (8, 'h'), (9, 'i'), (10, 'j')")
+    s.execute("INSERT INTO t VALUES (11, 'k')")
+    assert parts() == [(["id", "v"], 11), (["id", "v"], 3), (["id", "v"], 1)]
+    assert rows(s, "SELECT count(*), sum(id), count(v) FROM t") == [(15, 56, 13)]
+    for bad in ("INSERT INTO t VALUES (2, 'z')", "INSERT INTO t VALUES (12, 'h')", "INSERT INTO t VALUES (12, 'y'), (13, 'y')"):
+        with pytest.raises(ConstraintError):
+            s.execute(bad)
+    assert len(parts()) == 3
+    s.execute("ALTER TABLE t ADD COLUMN w INTEGER DEFAULT 5")
+    s.execute("INSERT INTO t VALUES (12, NULL, 1)")  # takes in the last two parts
+    assert parts() == [(["id", "v"], 11), (["id", "v", "w"], 5)]
+    assert rows(s, "SELECT sum(w), count(*) FROM t") == [(76, 16)]
+    s.execute("ALTER TABLE t DROP COLUMN w; ALTER TABLE t ADD COLUMN w TEXT")
+    assert rows(s, "SELECT count(w), count(*) FROM t") == [(0, 16)]
+    assert s.execute("INSERT INTO t VALUES (1, 'n', 'x'), (20, 't', 'x') ON CONFLICT (id) DO NOTHING").affected == 1
+    assert s.execute("INSERT INTO t VALUES (1, 'n', 'x'), (1, 'm', 'y'), (21, 'u', 'y') ON CONFLICT (id) DO UPDATE SET v = excluded.v, w = t.v").affected == 3
+    assert rows(s, "SELECT id, v, w FROM t WHERE id IN (1, 2, 20, 21) ORDER BY id") == [(1, "m", "n"), (2, "b", None), (20, "t", "x"), (21, "u", "y")]
+    assert len(parts()) == 1
+    assert s.engine.catalog.collect_garbage() > 0
+    assert rows(s, "SELECT count(*) FROM t") == [(18,)]
+
+
+def test_added_columns_must_suit_the_rows_there_are(s):
+    s.execute("CREATE TABLE t (id INTEGER PRIMARY KEY); INSERT INTO t VALUES (1), (2)")
+    for bad in ("ALTER TABLE t ADD COLUMN a TEXT NOT NULL", "ALTER TABLE t ADD COLUMN a TEXT UNIQUE DEFAULT 'x'"):
+        with pytest.raises(ConstraintError):
+            s.execute(bad)
+    s.execute("ALTER TABLE t ADD COLUMN a TEXT NOT NULL DEFAULT 'x'; ALTER TABLE t ADD COLUMN b TEXT UNIQUE")
+    assert rows(s, "SELECT id, a, b FROM t ORDER BY id") == [(1, "x", None), (2, "x", None)]
