@@ -3,8 +3,9 @@
 Each document gets whole-text counts and rates. A sketch for each language and source holds, for each rate,
 how many documents fall in each bucket of a log-linear scale (32 buckets for each power of two, so a
 quantile is at most 1/32 too low). Sketches merge by adding counts, so they come from a plain partial
-aggregation; small groups use the merged sketch of their language, or of everything. Thresholds are fences
-around the sketch's quartiles; documents join their group's thresholds and pass if all rates lie inside.
+aggregation over the documents that pass the base rule. Thresholds are fences around the first quartile and
+an upper quantile of the group's sketch, as wide as a multiple of the range between them; documents join their
+group's thresholds and pass if all rates lie inside.
 
 Null or empty text: zero counts, which fails the base rule. Null language or source: a group like any other.
 """
@@ -20,14 +21,16 @@ from quern.llm.common import column_bytes, stored
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50  # base rule: words, per cent of words in repeated windows
-RATES = {"word_length": (4.0, 2500), "symbols": (3.0, 300), "dup_lines": (3.0, 1000), "repeats": (3.0, 4000)}
-"""Rates per 10,000 words (word_length: thousandths of a character): fence factor on the quartile range, least slack."""
+RATES = {"word_length": (0.75, 5.0, 100), "symbols": (0.9, 3.0, 300), "dup_lines": (0.98, 2.0, 300), "repeats": (0.95, 3.0, 300)}
+"""Rates per 10,000 words (dup_lines: lines; word_length: thousandths of a character): upper quantile, fence factor on
+the range from the first quartile to it, least width (for groups without spread)."""
 LEAST_GROUP = 200
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_LINES = "n_lines long"
 
 
-def counts(text: bytes) -> tuple[int, int, int, int, int]:
+def counts(text: bytes) -> tuple[int, int, int, int, int, int]:
     words = text.split()
     n = len(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -43,7 +46,7 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
         for j in range(3):
             hit[at + j] = True
         repeated = int(hit.sum())
-    return n, len(b"".join(words).decode()), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated
+    return n, len(b"".join(words).decode()), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -52,18 +55,24 @@ def measure(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = [counts(t) for t in column_bytes(batch["text"])]
-            found = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["source"], *(pa.array(found[:, i]) for i in range(5))], names)
+            found = np.array(rows, np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["source"], *(pa.array(found[:, i]) for i in range(6))], names)
 
-    schema = f"doc_id long, lang string, source string, {_COUNTS}"
+    schema = f"doc_id long, lang string, source string, {_COUNTS}, {_LINES}"
     names = [x.split()[0] for x in schema.split(", ")]
     columns = ("cast(doc_id as long) doc_id", "cast(lang as string) lang", "cast(source as string) source", "cast(text as string) text")
     return docs.selectExpr(*columns).mapInArrow(run, schema)
 
 
-def rates() -> dict[str, Column]:
-    per = lambda x, m: F.when(F.col("n_words") > 0, F.floor(F.col(x) * m / F.col("n_words")).cast("long"))
-    return {"word_length": per("word_chars", 1000), "symbols": per("n_symbols", 10000), "dup_lines": per("n_dup_lines", 10000), "repeats": per("n_repeat_words", 10000)}
+def rates(measured: DataFrame) -> dict[str, Column]:
+    """The rates whose counts are there."""
+    per = lambda x, m, of="n_words": F.when(F.col(of) > 0, F.floor(F.col(x) * m / F.col(of)).cast("long"))
+    found = {"word_length": per("word_chars", 1000), "symbols": per("n_symbols", 10000), "repeats": per("n_repeat_words", 10000)}
+    return found | ({"dup_lines": per("n_dup_lines", 10000, "n_lines")} if "n_lines" in measured.columns else {})
+
+
+def base_failed(min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
 
 
 def bucket(x: Column) -> Column:
@@ -74,42 +83,44 @@ def bucket(x: Column) -> Column:
 
 def sketch(measured: DataFrame) -> DataFrame:
     """(lang, source, rate, value, n): mergeable, at most a few hundred rows for each group and rate."""
-    each = F.array(*(F.struct(F.lit(k).alias("rate"), bucket(v).alias("value")) for k, v in rates().items()))
+    each = F.array(*(F.struct(F.lit(k).alias("rate"), bucket(v).alias("value")) for k, v in rates(measured).items()))
     rows = measured.filter("n_words > 0").select("lang", "source", F.explode(each).alias("r"))
     return rows.groupBy("lang", "source", "r.rate", "r.value").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """First and third quartile and number of documents of each rate, of the sketches merged by keys."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """First quartile, upper quantile (see RATES) and number of documents of each rate, of the sketches merged by keys."""
     merged = sketches.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
     each = Window.partitionBy(*keys, "rate")
     up = merged.withColumns({"up": F.sum("n").over(each.orderBy("value")), "all": F.sum("n").over(each)})
-    at = lambda q: F.min(F.when(F.col("up") * 4 >= F.col("all") * q, F.col("value")))
-    return up.groupBy(*keys, "rate").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("n"))
+    at = lambda q: F.min(F.when(F.col("up") >= F.col("all") * q, F.col("value")))
+    return up.groupBy(*keys, "rate").agg(at(0.25).alias("q1"), at(of_rate(0)).alias("top"), F.max("all").alias("n"))
+
+
+def of_rate(i: int) -> Column:
+    return F.create_map(*(F.lit(x) for k, v in RATES.items() for x in (k, v[i])))[F.col("rate")]
 
 
 def thresholds(sketches: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """(lang, source, rate) -> low, high; groups below least_group fall back to their language, then to all."""
-    own = quartiles(sketches, ["lang", "source"])
-    lang = quartiles(sketches, ["lang"]).selectExpr("lang l", "rate r", "q1 l1", "q3 l3", "n ln")
-    every = quartiles(sketches.withColumn("everything", F.lit(1)), ["everything"]).selectExpr("rate a", "q1 a1", "q3 a3")
+    own = quantiles(sketches, ["lang", "source"])
+    lang = quantiles(sketches, ["lang"]).selectExpr("lang l", "rate r", "q1 l1", "top lt", "n ln")
+    every = quantiles(sketches.withColumn("everything", F.lit(1)), ["everything"]).selectExpr("rate a", "q1 a1", "top at")
     found = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r"))).join(every, F.col("rate") == F.col("a"))
     pick = lambda x, y, z: F.when(F.col("n") >= least_group, F.col(x)).when(F.col("ln") >= least_group, F.col(y)).otherwise(F.col(z))
-    q1, q3 = pick("q1", "l1", "a1"), pick("q3", "l3", "a3")
-    factor = F.create_map(*(F.lit(x) for k, (f, _) in RATES.items() for x in (k, f)))[F.col("rate")]
-    slack = F.create_map(*(F.lit(x) for k, (_, s) in RATES.items() for x in (k, s)))[F.col("rate")]
-    width = F.greatest(factor * (q3 - q1), slack)
-    return found.select("lang", "source", "rate", (q1 - width).alias("low"), (q3 + width).alias("high"))
+    q1, top = pick("q1", "l1", "a1"), pick("top", "lt", "at")
+    width = F.greatest(of_rate(1) * (top - q1), of_rate(2))
+    return found.select("lang", "source", "rate", (q1 - width).alias("low"), (top + width).alias("high"))
 
 
 def apply_rules(docs: DataFrame, least_group: int = LEAST_GROUP, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, kept, and failed (the rates outside their fences)."""
     measured = stored(measure(docs))
-    limits = thresholds(stored(sketch(measured)), least_group).groupBy("lang", "source").agg(
+    base = base_failed(min_words, max_repeated)
+    limits = thresholds(stored(sketch(measured.filter(~base))), least_group).groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("rate") == k, F.struct("low", "high"))).alias(f"__{k}") for k in RATES)
     ).withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    failed = F.array_compact(F.array(*(F.when(~v.between(F.col(f"__{k}.low"), F.col(f"__{k}.high")), F.lit(k)) for k, v in rates().items())))
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
+    failed = F.array_compact(F.array(*(F.when(~v.between(F.col(f"__{k}.low"), F.col(f"__{k}.high")), F.lit(k)) for k, v in rates(measured).items())))
     out = joined.select(*measured.columns, base.alias("base_failed"), failed.alias("failed"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
