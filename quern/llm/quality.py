@@ -3,7 +3,9 @@
 Each document gets whole-text counts and rates. A sketch for each language and source holds, for each rate,
 how many documents fall in each bucket of a log-linear scale (32 buckets for each power of two, so a
 quantile is at most 1/32 too low). Sketches merge by adding counts, so they come from a plain partial
-aggregation over the documents that pass the base rule. Thresholds are fences around the first quartile and
+aggregation over the documents that pass the base rule. A group's sketch is taken together with PRIOR documents
+spread like its language's, and a language's with PRIOR spread like all, so the fewer documents a group has the
+more its language counts, at any size of the input. Thresholds are fences around the first quartile and
 an upper quantile of the group's sketch, as wide as a multiple of the range between them; documents join their
 group's thresholds and pass if all rates lie inside.
 
@@ -21,10 +23,10 @@ from quern.llm.common import column_bytes, stored
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50  # base rule: words, per cent of words in repeated windows
-RATES = {"word_length": (0.75, 5.0, 100), "symbols": (0.9, 3.0, 300), "dup_lines": (0.98, 2.0, 300), "repeats": (0.95, 3.0, 300)}
+RATES = {"word_length": (0.75, 5.0, 100), "symbols": (0.75, 3.0, 300), "dup_lines": (0.98, 2.0, 300), "repeats": (0.95, 3.0, 300)}
 """Rates per 10,000 words (dup_lines: lines; word_length: thousandths of a character): upper quantile, fence factor on
 the range from the first quartile to it, least width (for groups without spread)."""
-LEAST_GROUP = 200
+PRIOR = 20
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _LINES = "n_lines long"
@@ -88,36 +90,44 @@ def sketch(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "r.rate", "r.value").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """First quartile, upper quantile (see RATES) and number of documents of each rate, of the sketches merged by keys."""
-    merged = sketches.groupBy(*keys, "rate", "value").agg(F.sum("n").alias("n"))
-    each = Window.partitionBy(*keys, "rate")
-    up = merged.withColumns({"up": F.sum("n").over(each.orderBy("value")), "all": F.sum("n").over(each)})
-    at = lambda q: F.min(F.when(F.col("up") >= F.col("all") * q, F.col("value")))
-    return up.groupBy(*keys, "rate").agg(at(0.25).alias("q1"), at(of_rate(0)).alias("top"), F.max("all").alias("n"))
+def shrunk(sketches: DataFrame, keys: list[str], towards: DataFrame | None = None, prior: int = PRIOR) -> DataFrame:
+    """(keys, rate, value, up, all): cumulative weights of the sketches merged by keys, with the prior's documents.
+
+    towards: such a table for the first of the keys, or for none of them.
+    """
+    counts = sketches.select(*keys, "rate", "value", "n", F.lit(0.0).alias("given"))
+    if towards is not None:
+        outer = [k for k in keys if k in towards.columns]
+        groups = sketches.select(*keys, "rate").distinct()
+        share = towards.select(*(F.col(k).alias(f"__{k}") for k in outer), F.col("rate").alias("__rate"), "value", (F.col("weight") / F.col("all") * prior).alias("given"))
+        same = F.col("rate") == F.col("__rate")
+        for k in outer:
+            same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        counts = counts.unionByName(groups.join(share, same).select(*keys, "rate", "value", F.lit(0).cast("long").alias("n"), "given"))
+    merged = counts.groupBy(*keys, "rate", "value").agg((F.sum("n") + F.sum("given")).alias("weight"))
+    each = Window.partitionBy(*keys, "rate").orderBy("value")
+    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return merged.withColumns({"up": F.sum("weight").over(each), "all": F.sum("weight").over(whole)})
 
 
 def of_rate(i: int) -> Column:
     return F.create_map(*(F.lit(x) for k, v in RATES.items() for x in (k, v[i])))[F.col("rate")]
 
 
-def thresholds(sketches: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    """(lang, source, rate) -> low, high; groups below least_group fall back to their language, then to all."""
-    own = quantiles(sketches, ["lang", "source"])
-    lang = quantiles(sketches, ["lang"]).selectExpr("lang l", "rate r", "q1 l1", "top lt", "n ln")
-    every = quantiles(sketches.withColumn("everything", F.lit(1)), ["everything"]).selectExpr("rate a", "q1 a1", "top at")
-    found = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r"))).join(every, F.col("rate") == F.col("a"))
-    pick = lambda x, y, z: F.when(F.col("n") >= least_group, F.col(x)).when(F.col("ln") >= least_group, F.col(y)).otherwise(F.col(z))
-    q1, top = pick("q1", "l1", "a1"), pick("top", "lt", "at")
-    width = F.greatest(of_rate(1) * (top - q1), of_rate(2))
-    return found.select("lang", "source", "rate", (q1 - width).alias("low"), (top + width).alias("high"))
+def thresholds(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, rate) -> low, high; see RATES."""
+    lang = shrunk(sketches, ["lang"], shrunk(sketches, []), prior)
+    at = lambda q: F.min(F.when(F.col("up") >= F.col("all") * q, F.col("value")))
+    found = shrunk(sketches, ["lang", "source"], lang, prior).groupBy("lang", "source", "rate").agg(at(0.25).alias("q1"), at(of_rate(0)).alias("top"))
+    width = F.greatest(of_rate(1) * (F.col("top") - F.col("q1")), of_rate(2))
+    return found.select("lang", "source", "rate", (F.col("q1") - width).alias("low"), (F.col("top") + width).alias("high"))
 
 
-def apply_rules(docs: DataFrame, least_group: int = LEAST_GROUP, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> DataFrame:
+def apply_rules(docs: DataFrame, prior: int = PRIOR, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, kept, and failed (the rates outside their fences)."""
     measured = stored(measure(docs))
     base = base_failed(min_words, max_repeated)
-    limits = thresholds(stored(sketch(measured.filter(~base))), least_group).groupBy("lang", "source").agg(
+    limits = thresholds(stored(sketch(measured.filter(~base))), prior).groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("rate") == k, F.struct("low", "high"))).alias(f"__{k}") for k in RATES)
     ).withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")

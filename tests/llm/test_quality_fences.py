@@ -36,3 +36,13 @@ def test_width_follows_the_spread_of_the_group(spark):
     width = {(r.source, r.rate): r.high - r.low for r in quality.thresholds(quality.sketch(frame)).collect()}
     assert width["wide", "word_length"] > 4 * width["narrow", "word_length"]
     assert width["wide", "repeats"] > 4 * width["narrow", "repeats"]
+
+
+def test_thresholds_do_not_jump_with_the_size_of_a_group(spark):
+    def high(n):
+        rows = [(i, "en", "small", 1000, 4500 + i * 100 // n, 0, 0, 0) for i in range(n)] + [(1000 + i, "en", "large", 1000, 6000 + i % 100, 0, 0, 0) for i in range(2000)]
+        frame = spark.createDataFrame(rows, f"doc_id long, lang string, source string, {quality._COUNTS}")
+        return {(r.source, r.rate): r.low for r in quality.thresholds(quality.sketch(frame)).collect()}["small", "word_length"]
+
+    below, above = high(199), high(200)
+    assert abs(below - above) < 0.05 * abs(above)
