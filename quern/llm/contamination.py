@@ -5,7 +5,7 @@ table. Search: corpus counts from the index rank each window's terms; the two ra
 postings of the anchors, less the anchor's offset, give alignments (item, document, start); an alignment
 that two anchors share can hold a window, since a window brings both of its own. What is left is compared
 word by word, which gives exact phrase matches. Proximity matches are documents that hold most of an item's
-anchors within twice the item's length, in any order.
+RAREST rarest terms (all terms of a shorter item) within twice the item's length, in any order.
 
 The benchmark's terms and anchors are broadcast only if counted below BROADCAST_ROWS, else joined by a
 shuffle. Documents and items are told apart by a hash of id and text, so repeated ids do no harm. Null or
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import stored
 
-WINDOW, BROADCAST_ROWS, NEAR = 10, 100_000, 0.6
+WINDOW, BROADCAST_ROWS, NEAR, RAREST = 10, 100_000, 0.6, 8
 RESULTS = ("n_words", "n_hit", "item_ids", "n_near", "near_ids", "contaminated")
 
 
@@ -49,16 +49,24 @@ def build_index(docs: DataFrame, terms: DataFrame, path: str | None = None) -> D
 
 
 def anchors_of(items: DataFrame, index: DataFrame) -> DataFrame:
-    """(term, item, offset, number, need, n_anchors, span): the two rarest terms of each window that can occur."""
+    """(term, item, offset, need): the two rarest terms of each window that can occur."""
     start = F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("length"))).alias("start")
-    each = items.select("item", "item_words", "length", start).select("item", "start", "length", F.size("item_words").alias("size"), F.posexplode(F.slice("item_words", F.col("start") + 1, F.col("length"))).alias("i", "word"))
+    each = items.select("item", "item_words", "length", start).select("item", "start", "length", F.posexplode(F.slice("item_words", F.col("start") + 1, F.col("length"))).alias("i", "word"))
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     ranked = each.withColumn("term", F.xxhash64("word")).join(counts, "term")
     window = Window.partitionBy("item", "start")
     ranked = ranked.withColumns({"rank": F.row_number().over(window.orderBy("n", "i")), "present": F.count("*").over(window)})
-    chosen = ranked.filter("rank <= 2 and present = length").select("term", "item", (F.col("start") + F.col("i")).alias("offset"), F.least("length", F.lit(2)).alias("need"), (2 * F.col("size")).alias("span")).distinct()
+    return ranked.filter("rank <= 2 and present = length").select("term", "item", (F.col("start") + F.col("i")).alias("offset"), F.least("length", F.lit(2)).alias("need")).distinct()
+
+
+def rarest_of(items: DataFrame, index: DataFrame, near: float) -> DataFrame:
+    """(term, item, number, n_terms, span): the rarest terms of each item that can occur, if enough of its terms can."""
+    each = items.select("item", (2 * F.size("item_words")).alias("span"), F.size(F.array_distinct("item_words")).alias("size"), F.explode(F.array_distinct("item_words")).alias("word"))
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
     own = Window.partitionBy("item")
-    return chosen.withColumns({"number": F.row_number().over(own.orderBy("offset")) - 1, "n_anchors": F.count("*").over(own)})
+    ranked = each.withColumn("term", F.xxhash64("word")).join(counts, "term").withColumns({"number": F.row_number().over(own.orderBy("n", "term")) - 1, "present": F.count("*").over(own)})
+    chosen = ranked.filter((F.col("number") < RAREST) & (F.col("present") >= F.ceil(F.col("size") * near)))
+    return chosen.select("term", "item", "number", F.least("present", F.lit(RAREST)).alias("n_terms"), "span")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: float = NEAR) -> DataFrame:
@@ -81,13 +89,14 @@ def _search(docs: DataFrame, benchmark: DataFrame, window: int, near: float) ->
     terms = stored(items.select(F.explode("item_words").alias("word")).select(F.xxhash64("word").alias("term")).distinct())
     index = build_index(docs, _small(terms))
     anchors = stored(anchors_of(items, index))
-    hits = index.join(_small(anchors), "term").select("item", "doc", "pos", "offset", "number", "need", "n_anchors", "span")
+    hits = index.join(_small(anchors), "term").select("item", "doc", "pos", "offset", "need")
     exact = hits.groupBy("item", "doc", (F.col("pos") - F.col("offset")).alias("delta")).agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need")
     exact = exact.join(items, "item").select("doc", F.struct("item_id", "delta", "item_words", "length").alias("exact"), F.lit(None).cast("string").alias("near"))
     half = F.floor(2 * F.col("pos") / F.col("span"))
-    spans = hits.withColumn("place", F.explode(F.array(half, half - 1)))
-    close = spans.groupBy("item", "doc", "place").agg(F.expr("bit_count(bit_or(shiftleft(1L, cast(number % 64 as int))))").alias("n"), F.max(F.least("n_anchors", F.lit(64))).alias("of"))
-    close = close.filter((F.col("of") >= 3) & (F.col("n") >= F.ceil(F.col("of") * near))).select("item", "doc").distinct()
+    rarest = stored(rarest_of(items, index, near))
+    spans = index.join(_small(rarest), "term").withColumn("place", F.explode(F.array(half, half - 1)))
+    close = spans.groupBy("item", "doc", "place").agg(F.expr("bit_count(bit_or(shiftleft(1L, cast(number as int))))").alias("n"), F.max("n_terms").alias("of"))
+    close = close.filter(F.col("n") >= F.ceil(F.col("of") * near)).select("item", "doc").distinct()
     close = close.join(items, "item").select("doc", F.lit(None).cast(dict(exact.dtypes)["exact"]).alias("exact"), F.col("item_id").alias("near"))
     found = exact.unionByName(close).groupBy("doc").agg(F.collect_list("exact").alias("__exact"), F.sort_array(F.collect_set("near")).alias("__near"))
     joined = numbered.join(found.withColumnRenamed("doc", "__doc"), "__doc", "left")
