@@ -10,8 +10,8 @@ import time
 from pyspark.sql import SparkSession
 
 from quern.operators import registry
-from quern.plans.recursive import shared_folder
 from quern.session import Engine
+from quern.sources.shared import new_folder
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -25,7 +25,7 @@ NAMES = [
 
 
 def inserts(spark: SparkSession, n: int) -> None:
-    session = Engine(spark, shared_folder(spark).removeprefix("file://").removeprefix("file:")).create_session()
+    session = Engine(spark, new_folder(spark).removeprefix("file://").removeprefix("file:")).create_session()
     session.engine.attached = registry.ParquetTables(spark, SF)
     session.execute("CREATE TABLE products (id INTEGER PRIMARY KEY, name TEXT, price REAL, category TEXT)")
     session.execute(f"INSERT INTO products SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey < {n}")

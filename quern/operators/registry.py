@@ -8,9 +8,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators.catalogue import CHANGES, QUERIES
-from quern.plans.recursive import shared_folder
 from quern.session import Engine, query
 from quern.sources.files import ParquetTables
+from quern.sources.shared import new_folder
 
 JSON_COLUMNS = {"events": {"props"}}
 
@@ -21,7 +21,7 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def change(spark: SparkSession, sf_dir: str, script: str, text: str) -> DataFrame:
     """Runs the script on a new database in the shared folder and returns the state as a query."""
-    engine = Engine(spark, shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    engine = Engine(spark, new_folder(spark).removeprefix("file://").removeprefix("file:"))
     engine.attached = ParquetTables(spark, sf_dir, JSON_COLUMNS)
     session = engine.create_session()
     session.execute(script)

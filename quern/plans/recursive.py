@@ -7,28 +7,18 @@ lost executor costs one round at most.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.errors import QuernError
 from quern.plans.lowering import MAX_LEVELS, SPARK, Relation, quote
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quern-recursive-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/quern-recursive/{uuid.uuid4().hex}"
+from quern.sources.shared import new_folder
 
 
 def fixpoint(spark: SparkSession):
     """A union_fixpoint for Lowering: (base SQL, columns, step) -> the finished relation."""
 
     def run(base: str, columns: list[tuple[str, str]], step) -> Relation:
-        folder = shared_folder(spark)
+        folder = new_folder(spark)
         names = [n for n, _ in columns]
 
         def written(df: DataFrame, level: int) -> bool:

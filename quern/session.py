@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quern.errors import BindError, ConstraintError, TransactionError
 from quern.plans.lowering import MAX_LEVELS, SPARK, Lowering, Relation, Scope, aggregates, cast, json_text, quote
 from quern.plans.parser import Query, Statement, parse
-from quern.plans.recursive import fixpoint, shared_folder
+from quern.plans.recursive import fixpoint
 from quern.sources.catalog import ROW_ID, Catalog, columns_of, find, relation
+from quern.sources.shared import new_folder
 
 
 @dataclass
@@ -290,7 +291,7 @@ class Session:
         missing = [c for c in table["columns"] if c["name"].lower() not in chosen]
         given = given.select("*", *(F.expr(f"CAST({c['default'] or 'NULL'} AS {SPARK[c['type']]})").alias(c["name"]) for c in missing))
         # written once: the order column must not change between the passes below
-        path = shared_folder(self.spark)
+        path = new_folder(self.spark)
         given.write.parquet(path)
         given = self.spark.read.parquet(path)
         auto = next((c["name"] for c in table["columns"] if c["auto"]), None)
@@ -329,7 +330,7 @@ class Session:
         driver works out where each partition's numbering starts.
         """
         data = given.repartitionByRange("__ord").sortWithinPartitions("__ord").select("*", F.spark_partition_id().alias("__part"))
-        path = shared_folder(self.spark)
+        path = new_folder(self.spark)
         data.write.parquet(path)
         data = self.spark.read.parquet(path)
         id_ = F.col(quote(column))
@@ -388,7 +389,7 @@ class Session:
         for k in keys:
             complete = complete & F.col(quote(k)).isNotNull()
         rank = F.when(complete, F.row_number().over(Window.partitionBy(*(quote(k) for k in keys), complete).orderBy("__ord"))).otherwise(F.lit(1))
-        path = shared_folder(self.spark)
+        path = new_folder(self.spark)
         given.withColumn("__rank", rank).write.parquet(path)
         given = self.spark.read.parquet(path)
         same = F.lit(True)
@@ -423,7 +424,7 @@ class Session:
         return affected
 
     def rewritten(self, df: DataFrame) -> DataFrame:
-        path = shared_folder(self.spark)
+        path = new_folder(self.spark)
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
