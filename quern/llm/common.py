@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.shared import new_folder
+
 LAST_ID = np.int64(2**63 - 1)  # stands in for a null id where ids are ordered
 
 
@@ -17,19 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only if none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    quern.sources.shared.release() deletes what has been written without a path.
+    """
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    path = path or new_folder(spark)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)

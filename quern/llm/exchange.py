@@ -1,31 +1,48 @@
 """Rounds between document shards and key buckets.
 
-Operators that ask "where else does this key occur?" cut the documents into shards (by a hash, about
-SHARD_BYTES of input each). A round sends each shard's distinct keys, packed as binary arrays, to
-buckets cut by the keys' top bits; a bucket decides on all its keys with sorted numpy arrays and sends
-each shard one answer for each of its keys, in the order sent. Keys are distinct within a shard before
-they are shuffled, so a key that a third of all documents hold is one entry of each shard, never a
-group of rows. The documents' exchange is the same subplan in each round, so Spark runs it once.
+Operators that ask "where else does this key occur?" cut the documents into shards of about SHARD_BYTES
+of input. A round sends each shard's distinct keys, packed as binary arrays, to buckets cut by the keys'
+top bits; a bucket decides on all its keys with sorted numpy arrays and sends each shard one answer for
+each of its keys, in the order sent. Keys are distinct within a shard before they are shuffled, so a key
+that a third of all documents hold is one entry of each shard, never a group of rows.
+
+A shard sends at most FAN messages, whatever the number of buckets. Where there are more buckets, messages
+take several hops: a relay takes one range of keys from FAN neighbouring shards (or relays), merges them,
+and passes them on to at most FAN narrower ranges, as in a radix sort; answers go back the same way. There are
+as many relays in a hop as shards, each with as many keys, so a round of h hops makes at most 2 * h * FAN rows
+for a shard: rows grow with the input, not with its square, and h = log(buckets) / log(FAN).
+
+Addresses (`node`): buckets and relays count from 0; shard s is -1 - s.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import column_bytes, ids_of, pieces, plan_bytes
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 4 << 20  # of input, the documents of a shard
+BUCKET_BYTES = 16 << 20  # of input, whose keys a bucket holds
+FAN = 512
 
-MESSAGE = "bucket int, shard int, keys binary, aux binary"
-ANSWER = "shard int, bucket int, data binary"
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("aux", pa.binary())])
-_ANSWER = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+MESSAGE = "node long, sender long, keys binary, aux binary"
+ANSWER = "node long, sender long, data binary"
+_MESSAGE = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("keys", pa.binary()), ("aux", pa.binary())])
+_ANSWER = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("data", pa.binary())])
+NOTE = -(1 << 62)  # the address of notes
+STAYS = 1 << 62  # the sender of what a shard keeps to itself: it is never passed on
+
+
+def address(shard: int) -> int:
+    return -1 - shard
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -36,67 +53,159 @@ def unpack(x: bytes) -> bytes:
     return zstandard.decompress(x)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: the upper bytes, nearly all zero, take no room."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Route:
+    """fan ** hops buckets; a node of hop j < hops takes the keys of one range from fan ** j shards."""
+
+    fan: int
+    hops: int
+
+    @classmethod
+    def of(cls, size: int) -> Route:
+        n, hops, fan = pieces(size, BUCKET_BYTES), 1, 1
+        while FAN**hops < n:
+            hops += 1
+        while fan**hops < n:
+            fan += 1
+        return cls(fan, hops)
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(32)) * np.uint64(self.fan**self.hops) >> np.uint64(32)).astype(np.int64)
+
+    def node(self, hop: int, group: int, bucket):
+        """Where keys of this bucket go in this hop, from the shards of this group (of fan ** hop shards)."""
+        return bucket if hop == self.hops else group * self.fan**hop + bucket // self.fan ** (self.hops - hop)
+
+
 class Shards:
     """Documents cut into shards by a hash of id and text; `carry` columns travel along."""
 
     def __init__(self, docs: DataFrame, carry: Iterable[str] = ()):
-        self.n = pieces(plan_bytes(docs), SHARD_BYTES)
+        size = plan_bytes(docs)
+        self.route = Route.of(size)
         columns = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)]
+        shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(pieces(size, SHARD_BYTES)))
         self.docs = docs.select(
-            F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int").alias("shard"),
+            (-1 - shard).cast("long").alias("node"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("text").cast("string").alias("text"),
             *columns,
         )
 
     def first(self, emit: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        return self.docs.groupBy("shard").applyInArrow(emit, MESSAGE)
+        return self.docs.groupBy("node").applyInArrow(emit, MESSAGE)
 
     def again(self, answers: DataFrame, emit: Callable[[pa.Table, pa.Table], pa.Table], schema: str = MESSAGE) -> DataFrame:
-        return self.docs.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(emit, schema)
+        return self.docs.groupBy("node").cogroup(answers.groupBy("node")).applyInArrow(emit, schema)
 
     def decide(self, messages: DataFrame, aux, verdict: Callable[[np.ndarray, np.ndarray], np.ndarray], note: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
-        """verdict(keys, aux) over all entries of a bucket gives an array with an answer for each entry.
-
-        note(keys, aux) adds a row for the bucket, with shard -1: what sums over all buckets need.
-        """
-        kind = np.dtype(aux)
-
-        def run(group: pa.Table) -> pa.Table:
-            shard = group["shard"].to_numpy()
-            bucket = group["bucket"].to_numpy()
-            if len(bucket) and bucket[0] < 0:
-                data = group["aux"].to_pylist()
-            else:
-                shard, bucket = shard.tolist(), bucket.tolist()
-                keys = [np.frombuffer(x, np.uint64) for x in group["keys"].to_pylist()]
-                values = [np.frombuffer(unpack(x), kind) for x in group["aux"].to_pylist()]
-                cuts = np.cumsum([len(k) for k in keys])[:-1]
-                keys, values = np.concatenate(keys), np.concatenate(values)
-                data = [pack(x) for x in np.split(verdict(keys, values), cuts)]
-                if note:
-                    shard, bucket, data = [*shard, -1], [*bucket, bucket[0]], [*data, note(keys, values)]
-            return pa.table([pa.array(shard, pa.int32()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], schema=_ANSWER)
-
-        return messages.groupBy("bucket").applyInArrow(run, ANSWER)
-
-
-def messages(shard: int, n_buckets: int, keys: np.ndarray, aux: np.ndarray, state: bytes | None = None) -> pa.Table:
-    """A row for each bucket that has some of the keys (sorted, distinct); state comes back unchanged to this shard."""
-    buckets, starts = np.unique(((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32), return_index=True)
-    ends = [*starts[1:], len(keys)]
-    rows = [(int(b), shard, keys[s:e].tobytes(), pack(aux[s:e])) for b, s, e in zip(buckets, starts, ends)]
+        return decide(self.route, messages, aux, verdict, note)
+
+
+def decide(route: Route, messages: DataFrame, aux, verdict: Callable[[np.ndarray, np.ndarray], np.ndarray], note: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
+    """verdict(keys, aux) over all entries of a bucket gives an array with an answer for each entry.
+
+    note(keys, aux) adds a row for the bucket, to NOTE: what sums over all buckets need.
+    """
+    kind, way = np.dtype(aux), [messages]
+    for hop in range(1, route.hops):
+        way.append(way[-1].groupBy("node").applyInArrow(_relay(route, hop, kind), MESSAGE))
+
+    def bucket(group: pa.Table) -> pa.Table:
+        node = group["node"][0].as_py()
+        if node < 0:
+            return _passed(group)
+        sender, keys, values = _entries(group, kind)
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        rows = [(s, node, pack(x)) for s, x in zip(sender, np.split(verdict(keys, values), cuts))]
+        return _table(rows + ([(NOTE, node, note(keys, values))] if note else []), _ANSWER)
+
+    answers = way[-1].groupBy("node").applyInArrow(bucket, ANSWER)
+    for sent in way[-2::-1]:
+        answers = sent.groupBy("node").cogroup(answers.groupBy("node")).applyInArrow(_back(kind), ANSWER)
+    return answers
+
+
+def _relay(route: Route, hop: int, kind: np.dtype):
+    def run(group: pa.Table) -> pa.Table:
+        node = group["node"][0].as_py()
+        if node < 0:
+            return group.filter(pc.not_equal(group["sender"], STAYS))
+        _, keys, values = _entries(group, kind)
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys, kind="stable")
+        return _table(_cut(route, hop + 1, node // route.fan**hop // route.fan, node, keys[order], values[order]), _MESSAGE)
+
+    return run
+
+
+def _back(kind: np.dtype):
+    def run(sent: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(answers) or answers["node"][0].as_py() < 0:
+            return answers
+        node = answers["node"][0].as_py()
+        sender, keys, _ = _entries(sent, kind)
+        merged, _ = _joined(answers)
+        size = len(merged) // sum(map(len, keys))
+        out = np.empty((sum(map(len, keys)), size), np.uint8)
+        out[np.argsort(np.concatenate(keys), kind="stable")] = np.frombuffer(merged, np.uint8).reshape(-1, size)
+        return _table([(s, node, pack(x)) for s, x in zip(sender, np.split(out, np.cumsum([len(k) for k in keys])[:-1]))], _ANSWER)
+
+    return run
+
+
+def _entries(group: pa.Table, kind: np.dtype) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Senders in order, and the keys and values of each."""
+    rows = sorted(zip(group["sender"].to_pylist(), group["keys"].to_pylist(), group["aux"].to_pylist()), key=lambda r: r[0])
+    return [r[0] for r in rows], [unpack_keys(r[1]) for r in rows], [np.frombuffer(unpack(r[2]), kind) for r in rows]
+
+
+def _passed(group: pa.Table) -> pa.Table:
+    """A shard's own state as an answer to it."""
+    rows = zip(group["node"].to_pylist(), group["sender"].to_pylist(), group["aux"].to_pylist())
+    return _table([r for r in rows if r[1] != STAYS], _ANSWER)
+
+
+def _table(rows: list, schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _cut(route: Route, hop: int, group: int, sender: int, keys: np.ndarray, aux: np.ndarray) -> list[tuple]:
+    nodes, starts = np.unique(route.node(hop, group, route.bucket(keys)), return_index=True)
+    return [(int(n), sender, pack_keys(keys[s:e]), pack(aux[s:e])) for n, s, e in zip(nodes, starts, [*starts[1:], len(keys)])]
+
+
+def messages(shard: int, route: Route, keys: np.ndarray, aux: np.ndarray, state: bytes | None = None, stays: bool = False) -> pa.Table:
+    """A row for each node that gets some of the keys (sorted, distinct).
+
+    The state comes back unchanged to this shard with the answers; or it stays, beside the messages.
+    """
+    rows = _cut(route, 1, shard // route.fan, address(shard), keys, aux)
     if state is not None:
-        rows.append((-1 - shard, shard, b"", state))
-    columns = list(zip(*rows)) or [[], [], [], []]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _MESSAGE)], schema=_MESSAGE)
+        rows.append((address(shard), STAYS if stays else address(shard), b"", state))
+    return _table(rows, _MESSAGE)
+
+
+def _joined(group: pa.Table) -> tuple[bytes, bytes]:
+    rows = sorted(zip(group["sender"].to_pylist(), group["data"].to_pylist()), key=lambda x: x[0])
+    return b"".join(unpack(x) for b, x in rows if b >= 0), b"".join(x for b, x in rows if b < 0)
 
 
 def answers(group: pa.Table, kind: str) -> tuple[np.ndarray, bytes]:
     """The answers in the order of the shard's keys, and its state."""
-    rows = sorted(zip(group["bucket"].to_pylist(), group["data"].to_pylist()), key=lambda x: x[0])
-    state = b"".join(x for b, x in rows if b < 0)
-    return np.frombuffer(b"".join(unpack(x) for b, x in rows if b >= 0), np.dtype(kind)), state
+    data, state = _joined(group)
+    return np.frombuffer(data, np.dtype(kind)), state
 
 
 def pack_state(*arrays: np.ndarray) -> bytes:
@@ -117,7 +226,7 @@ class Batch:
     def __init__(self, group: pa.Table):
         ids, texts = ids_of(group["doc_id"]), column_bytes(group["text"])
         order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-        self.shard = group["shard"][0].as_py() if len(texts) else 0
+        self.shard = address(group["node"][0].as_py()) if len(texts) else 0
         self.rows = group.take(pa.array(order, pa.int64())) if len(texts) else group
         self.ids = ids[order] if len(texts) else ids
         self.texts = [texts[i] for i in order]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import LAST_ID, mix
-from quern.llm.exchange import Batch, Shards, answers, messages, totals
+from quern.llm.exchange import NOTE, Batch, Shards, answers, messages, totals
 
 PRIOR = 300.0
 FOLDS, HELD = 7, 2
@@ -86,13 +86,13 @@ class Automaton:
 def score_documents(docs: DataFrame, prior: float = PRIOR, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     shards = Shards(docs)
-    n = shards.n
+    route = shards.route
 
     def count(group: pa.Table) -> pa.Table:
         batch = Batch(group)
         grams = _Grams(batch, folds, held)
         counts = np.concatenate([grams.c1, grams.c2]).astype(np.uint32)
-        return messages(batch.shard, n, grams.keys[grams.order], counts[grams.order])
+        return messages(batch.shard, route, grams.keys[grams.order], counts[grams.order])
 
     def score(group: pa.Table, got: pa.Table) -> pa.Table:
         batch = Batch(group)
@@ -119,8 +119,8 @@ def score_documents(docs: DataFrame, prior: float = PRIOR, folds: int = FOLDS, h
 
     found = shards.decide(shards.first(count), "u4", totals, _vocabulary)
     note = F.split(F.col("data").cast("string"), ",")
-    notes = found.filter("shard < 0").agg(F.sum(note[0].cast("long")).alias("v"), F.sum(note[1].cast("long")).alias("n"))
-    found = found.filter("shard >= 0").withColumns({"v": notes.select("v").scalar(), "n": notes.select("n").scalar()})
+    notes = found.filter(F.col("node") == NOTE).agg(F.sum(note[0].cast("long")).alias("v"), F.sum(note[1].cast("long")).alias("n"))
+    found = found.filter(F.col("node") != NOTE).withColumns({"v": notes.select("v").scalar(), "n": notes.select("n").scalar()})
     return shards.again(found, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

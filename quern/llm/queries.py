@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, chat, contamination, cotrain, lm, quality, sharding, simhash, substring, suffix
-from quern.llm.common import shared_dir, table
+from quern.llm.common import table
 from quern.llm.oracles import ORACLES
+from quern.sources.shared import new_folder
 
 
 def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.records(table(spark, sf_dir, "documents"))
     loads = sharding.slot_bytes(found)
-    maps = f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}"
+    maps = new_folder(spark)
     sharding.save_map(spark, maps, sharding.build_map(loads), 1)
     _, slot_map = sharding.load_map(spark, maps)
     out = sharding.assign(found, slot_map, loads)

@@ -3,19 +3,24 @@
 1. Each shard picks, in every window of WINDOW words, the phrase of SEED words with the least hash; two
    equal windows pick the same phrase, so only phrases found in two documents can lie in a repeated
    window. A round of key buckets tells each shard which of its phrases recur.
-2. Each shard compiles an Aho-Corasick automaton of its recurring phrases and streams its documents
-   through it to locate every occurrence. Windows around an occurrence are candidates; a second round
-   confirms them by the smallest document that holds each window.
-3. Each shard removes the words of its windows that a smaller document holds too.
-
-Automata are cut by document shard: one holds only phrases of its own few megabytes of text, so its
-memory is bounded and each document is streamed through exactly one automaton, however large the corpus.
+2. Windows around such a phrase are candidates. A second round tells each shard which of its distinct
+   candidates a smaller document holds: with those that recur within the shard, these are the passages
+   confirmed to recur. Of each, only one place and the smallest document are remembered.
+3. Each shard compiles its confirmed passages into Aho-Corasick automata of at most PATTERNS windows and
+   streams all its documents through each. The occurrences found, and nothing else, are what is removed: a
+   hit covers its words if a smaller document than the hit's holds the passage.
+
+Automata are cut by document shard and by number of windows, so their memory is bounded, however large the
+corpus. They read words as numbers, two or three letters each, so that a step is a third of a word, not a byte.
 Windows are compared by 64-bit keys. Null or empty text: no words. A null doc_id counts as the largest.
+Rows with one doc_id are judged alike: none is smaller than the others. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
@@ -24,53 +29,101 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LAST_ID, window_hash
+from quern.llm.common import window_hash
 from quern.llm.exchange import Batch, Shards, answers, messages, minima, pack, runs, totals, unpack
 
 WINDOW = 13
 SEED = 5
+PATTERNS = 1 << 14
 
 
 class _Words:
-    """The words of a shard, one document after another, with their hashes."""
+    """The words of a shard as numbers, one document after another."""
 
-    def __init__(self, batch: Batch, window: int, seed: int):
+    def __init__(self, batch: Batch):
         self.lists = [t.split() for t in batch.texts]
         self.counts = np.array([len(x) for x in self.lists], np.int64)
-        self.words = [w for x in self.lists for w in x]
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        known = {w: xxhash.xxh3_64_intdigest(w) for w in set(self.words)}
-        self.hash = np.fromiter(map(known.__getitem__, self.words), np.uint64, len(self.words))
         self.doc = np.repeat(np.arange(len(self.lists)), self.counts)
-        self.left = self.starts[1:][self.doc] - np.arange(len(self.words))  # words from here to the end
-        self.window, self.seed = window, seed
+        words = list(itertools.chain.from_iterable(self.lists))
+        self.known = {w: i for i, w in enumerate(set(words))}
+        self.numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.known), np.uint64, len(self.known))[self.numbers]
 
-    def picks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def picks(self, hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the windows, the place of each one's phrase, and the keys of phrases by place."""
-        at = np.flatnonzero(self.left >= self.window)
-        keys = window_hash(self.hash, self.seed)
-        best, place = keys[at], at.copy()
-        for j in range(1, self.window - self.seed + 1):
-            other = keys[at + j]
-            less = other < best
-            best = np.where(less, other, best)
-            place = np.where(less, at + j, place)
-        return at, place, keys
-
-
-def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int = WINDOW, seed: int = SEED) -> DataFrame:
+        left = self.starts[1:][self.doc] - np.arange(len(hashes))  # words from here to the end
+        at = np.flatnonzero(left >= window)
+        keys = window_hash(hashes, seed)
+        span = window - seed + 1
+        low = np.uint64((1 << span.bit_length()) - 1)
+        best = np.full(len(at), ~np.uint64(0))
+        for j in range(span):
+            np.minimum(best, (keys[at + j] & ~low) | np.uint64(j), out=best)
+        return at, at + (best & low).astype(np.int64), keys
+
+
+def automata(numbers: np.ndarray, places: np.ndarray, window: int) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    """Compiles the windows at these places; the result maps a text to the ends of all occurrences and the window's index."""
+    digits = _digits(numbers)
+    built = []
+    for first in range(0, len(places), PATTERNS):
+        one = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        each = numbers[places[first : first + PATTERNS, None] + np.arange(window)]
+        text, size = letters(each.ravel(), digits), window * digits
+        for i in range(len(each)):
+            one.add_word(text[i * size : (i + 1) * size], first + i)
+        one.make_automaton()
+        built.append(one)
+
+    def find(text: str) -> tuple[np.ndarray, np.ndarray]:
+        flat = [np.fromiter(itertools.chain.from_iterable(one.iter(text)), np.int64).reshape(-1, 2) for one in built]
+        hits = np.concatenate(flat) if flat else np.zeros((0, 2), np.int64)
+        return hits[:, 0], hits[:, 1]
+
+    return find
+
+
+def _digits(numbers: np.ndarray) -> int:
+    return 2 if numbers.max(initial=0) < (1 << 16) - 1 else 3
+
+
+def letters(numbers: np.ndarray, digits: int) -> str:
+    """Each number as letters: first one below 256, then one or two from 256 on, so matches begin where a word begins."""
+    out = np.empty((len(numbers), digits), "<u2")
+    out[:, 0] = numbers >> (8 * (digits - 1))
+    for k in range(1, digits):
+        out[:, k] = 256 + (numbers >> (8 * (digits - 1 - k)) & 255)
+    return out.tobytes().decode("utf-16-le")
+
+
+def occurrences(words: _Words, places: np.ndarray, window: int, build=automata) -> tuple[np.ndarray, np.ndarray]:
+    """(place, window's index) of each occurrence, in any document, of the windows at these places."""
+    if not len(places):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    digits = _digits(words.numbers)
+    slots = np.full(len(words.numbers) + len(words.lists), (1 << 8 * digits) - 1)  # a word that no pattern has, after each document
+    slots[np.arange(len(words.numbers)) + words.doc] = words.numbers
+    ends, which = build(words.numbers, places, window)(letters(slots, digits))
+    slot = (ends + 1) // digits - window
+    return slot - np.searchsorted(words.starts[1:] + np.arange(len(words.lists)), slot, side="right"), which
+
+
+def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int = WINDOW, seed: int = SEED, build=automata) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (removed word ranges), text after removal, and carried columns.
 
     text is unchanged where nothing is removed, else the kept words joined by one space. A carried column takes
     the place of a result of the same name.
     """
     shards = Shards(docs, carry)
-    n = shards.n
+    route = shards.route
 
     def phrases(group: pa.Table) -> pa.Table:
         batch = Batch(group)
-        words = _Words(batch, window, seed)
-        _, place, keys = words.picks()
+        words = _Words(batch)
+        _, place, keys = words.picks(words.hashes(), window, seed)
         place = place[runs(place)]
         keys, ids = keys[place], batch.ids[words.doc[place]]
         order = np.lexsort((ids, keys))
@@ -78,52 +131,45 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int =
         starts = runs(keys)
         ends = np.concatenate([starts[1:], [len(keys)]]).astype(np.int64)
         several = (ids[starts] != ids[ends - 1]) if len(starts) else np.zeros(0, bool)
-        return messages(batch.shard, n, keys[starts], (1 + several).astype(np.uint8))
+        return messages(batch.shard, route, keys[starts], (1 + several).astype(np.uint8))
 
-    def candidates(group: pa.Table, got: pa.Table) -> pa.Table:
+    def passages(group: pa.Table, got: pa.Table) -> pa.Table:
         batch = Batch(group)
-        words = _Words(batch, window, seed)
-        at, place, keys = words.picks()
+        words = _Words(batch)
+        hashes = words.hashes()
+        at, place, keys = words.picks(hashes, window, seed)
         recurs, _ = answers(got, "u1")
-        seeds, where = np.unique(keys[place], return_index=True)
-        found = np.zeros(len(words.words), bool)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in place[where[recurs.astype(bool)]] if len(seeds) else ():
-            automaton.add_word(f" {b' '.join(words.words[p : p + seed]).decode('latin-1')} ")
-        if len(automaton):
-            automaton.make_automaton()
-            for k, own in enumerate(words.lists):
-                if len(own) >= window:
-                    text = f" {b' '.join(own).decode('latin-1')} "
-                    ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
-                    if len(ends):
-                        after = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)  # the space behind each word
-                        found[words.starts[k] + np.searchsorted(after, ends) - seed + 1] = True
+        first = runs(place)
+        found = np.zeros(len(words.numbers), bool)
+        found[place[first]] = recurs[np.unique(keys[place[first]], return_inverse=True)[1]].astype(bool)
         at = at[found[place]]
-        keys = window_hash(words.hash, window)[at]
+        keys = window_hash(hashes, window)[at]
         ids = batch.ids[words.doc[at]]
         order = np.lexsort((ids, keys))
         starts = runs(keys[order])
-        mark = np.zeros(len(words.words), bool)
-        mark[at] = True
-        return messages(batch.shard, n, keys[order][starts], ids[order][starts], pack(np.packbits(mark)))
+        ends = np.concatenate([starts[1:], [len(order)]]).astype(np.int64)
+        least = order[starts]
+        several = (ids[least] != ids[order[ends - 1]]) if len(starts) else np.zeros(0, bool)
+        state = pack(np.concatenate([at[least].astype("<i4").view(np.uint8), several.view(np.uint8)]))
+        return messages(batch.shard, route, keys[least], ids[least], state)
 
     def removed(group: pa.Table, got: pa.Table) -> pa.Table:
         batch = Batch(group)
-        words = _Words(batch, window, seed)
+        words = _Words(batch)
         elsewhere, state = answers(got, "u1")
-        mark = np.unpackbits(np.frombuffer(unpack(state), np.uint8), count=len(words.words)) if state else np.zeros(len(words.words), np.uint8)
-        at = np.flatnonzero(mark)
-        keys = window_hash(words.hash, window)[at]
-        ids = batch.ids[words.doc[at]]
-        unique, inverse = np.unique(keys, return_inverse=True)
-        least = np.full(len(unique), LAST_ID)
-        np.minimum.at(least, inverse, ids)
-        at = at[elsewhere[inverse].astype(bool) | (ids > least[inverse])] if len(at) else at
-        edge = np.zeros(len(words.words) + window + 1, np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
-        gone = np.cumsum(edge)[: len(words.words)] > 0
+        gone = np.zeros(len(words.numbers), bool)
+        if len(elsewhere):
+            places, several = _places(state, len(elsewhere))
+            known = elsewhere.astype(bool)
+            confirmed = known | several
+            places, known = places[confirmed].astype(np.int64), known[confirmed]
+            least = batch.ids[words.doc[places]]
+            where, which = occurrences(words, places, window, build)
+            where = where[known[which] | (batch.ids[words.doc[where]] > least[which])]
+            edge = np.zeros(len(words.numbers) + window + 1, np.int32)
+            np.add.at(edge, where, 1)
+            np.add.at(edge, where + window, -1)
+            gone = np.cumsum(edge)[: len(words.numbers)] > 0
         n_removed, digests, spans, texts = [], [], [], []
         for k, own in enumerate(words.lists):
             cut = gone[words.starts[k] : words.starts[k + 1]]
@@ -149,7 +195,7 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int =
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,stop:long>>, text string"
     schema += "".join(f", __c{i} {kinds[f'__c{i}']}" for i in range(len(carry)))
     recurring = shards.decide(shards.first(phrases), "u1", _recurs)
-    smaller = shards.decide(shards.again(recurring, candidates), "i8", _elsewhere)
+    smaller = shards.decide(shards.again(recurring, passages), "i8", _elsewhere)
     out = shards.again(smaller, removed, schema)
     taken = {c.lower() for c in carry}
     own = [c for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "text") if c not in taken]
@@ -159,6 +205,12 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int =
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
+def _places(state: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the windows' keys, and whether several documents of the shard hold the window."""
+    flat = unpack(state)
+    return np.frombuffer(flat, "<i4", n), np.frombuffer(flat, "?", n, 4 * n)
+
+
 def _recurs(keys: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return (totals(keys, documents) >= 2).astype(np.uint8)
 

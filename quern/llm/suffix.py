@@ -143,13 +143,13 @@ class _Bytes:
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges) and kept (the bytes left)."""
     shards = Shards(docs)
-    n = shards.n
+    route = shards.route
 
     def anchors(group: pa.Table) -> pa.Table:
         batch = Batch(group)
         lo, hi, anchor, key = _Bytes(batch).anchors()
         keys, counts = np.unique(key, return_counts=True)
-        return messages(batch.shard, n, keys, counts.astype(np.uint32), pack_state(lo, hi, anchor, key.view(np.int64)))
+        return messages(batch.shard, route, keys, counts.astype(np.uint32), pack_state(lo, hi, anchor, key.view(np.int64)))
 
     def blocks(group: pa.Table, got: pa.Table) -> pa.Table:
         batch = Batch(group)
@@ -161,7 +161,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
         start, _, n_same = _pairs(first, second)
         out = np.empty(len(start), _PAIR)
         out["key"], out["n"] = second[start], n_same
-        return messages(batch.shard, n, first[start], out, pack_state(lo, hi, anchor))
+        return messages(batch.shard, route, first[start], out, pack_state(lo, hi, anchor))
 
     def strings(group: pa.Table, got: pa.Table) -> pa.Table:
         batch = Batch(group)
@@ -172,7 +172,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
         sure, on = (verdict == 1) | (verdict == 2), verdict >= 2
         _, keys = text.strings(s[on], e[on])
         keys, counts = np.unique(keys, return_counts=True)
-        return messages(batch.shard, n, keys, counts.astype(np.uint32), pack_state(s[sure], e[sure], s[on], e[on]))
+        return messages(batch.shard, route, keys, counts.astype(np.uint32), pack_state(s[sure], e[sure], s[on], e[on]))
 
     def removed(group: pa.Table, got: pa.Table) -> pa.Table:
         batch = Batch(group)
