@@ -17,6 +17,7 @@ Addresses (`node`): buckets and relays count from 0; shard s is -1 - s.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -34,10 +35,9 @@ BUCKET_BYTES = 16 << 20  # of input, whose keys a bucket holds
 FAN = 512
 
 MESSAGE = "node long, sender long, keys binary, aux binary"
-ANSWER = "node long, sender long, data binary"
+ANSWER = "node long, sender long, data binary, note binary"
 _MESSAGE = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("keys", pa.binary()), ("aux", pa.binary())])
-_ANSWER = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("data", pa.binary())])
-NOTE = -(1 << 62)  # the address of notes
+_ANSWER = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("data", pa.binary()), ("note", pa.binary())])
 STAYS = 1 << 62  # the sender of what a shard keeps to itself: it is never passed on
 
 
@@ -46,20 +46,23 @@ def address(shard: int) -> int:
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
+    """Compressed byte by byte: the upper bytes of small numbers take no room."""
+    size = x.dtype.itemsize
+    return zstandard.compress(bytes([size]) + np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T.tobytes(), 1)
 
 
 def unpack(x: bytes) -> bytes:
-    return zstandard.decompress(x)
+    flat = zstandard.decompress(x)
+    return np.frombuffer(flat, np.uint8, offset=1).reshape(flat[0], -1).T.tobytes()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte: the upper bytes, nearly all zero, take no room."""
-    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    """Sorted keys as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(x: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.frombuffer(unpack(x), np.uint64), dtype=np.uint64)
 
 
 @dataclass(frozen=True)
@@ -107,18 +110,19 @@ class Shards:
     def again(self, answers: DataFrame, emit: Callable[[pa.Table, pa.Table], pa.Table], schema: str = MESSAGE) -> DataFrame:
         return self.docs.groupBy("node").cogroup(answers.groupBy("node")).applyInArrow(emit, schema)
 
-    def decide(self, messages: DataFrame, aux, verdict: Callable[[np.ndarray, np.ndarray], np.ndarray], note: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
+    def decide(self, messages: DataFrame, aux, verdict: Callable[[np.ndarray, np.ndarray], np.ndarray], note: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
         return decide(self.route, messages, aux, verdict, note)
 
 
-def decide(route: Route, messages: DataFrame, aux, verdict: Callable[[np.ndarray, np.ndarray], np.ndarray], note: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> DataFrame:
+def decide(route: Route, messages: DataFrame, aux, verdict: Callable[[np.ndarray, np.ndarray], np.ndarray], note: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """verdict(keys, aux) over all entries of a bucket gives an array with an answer for each entry.
 
-    note(keys, aux) adds a row for the bucket, to NOTE: what sums over all buckets need.
+    note(keys, aux), a few integers, travels with the bucket's answers, so that each shard learns the sums over all
+    buckets; for that, the messages must have been made with every=True.
     """
     kind, way = np.dtype(aux), [messages]
     for hop in range(1, route.hops):
-        way.append(way[-1].groupBy("node").applyInArrow(_relay(route, hop, kind), MESSAGE))
+        way.append(way[-1].groupBy("node").applyInArrow(_relay(route, hop, kind, note is not None), MESSAGE))
 
     def bucket(group: pa.Table) -> pa.Table:
         node = group["node"][0].as_py()
@@ -127,8 +131,8 @@ def decide(route: Route, messages: DataFrame, aux, verdict: Callable[[np.ndarray
         sender, keys, values = _entries(group, kind)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         keys, values = np.concatenate(keys), np.concatenate(values)
-        rows = [(s, node, pack(x)) for s, x in zip(sender, np.split(verdict(keys, values), cuts))]
-        return _table(rows + ([(NOTE, node, note(keys, values))] if note else []), _ANSWER)
+        noted = note(keys, values).astype(np.int64).tobytes() if note else None
+        return _table([(s, node, pack(x), noted) for s, x in zip(sender, np.split(verdict(keys, values), cuts))], _ANSWER)
 
     answers = way[-1].groupBy("node").applyInArrow(bucket, ANSWER)
     for sent in way[-2::-1]:
@@ -136,7 +140,7 @@ def decide(route: Route, messages: DataFrame, aux, verdict: Callable[[np.ndarray
     return answers
 
 
-def _relay(route: Route, hop: int, kind: np.dtype):
+def _relay(route: Route, hop: int, kind: np.dtype, every: bool):
     def run(group: pa.Table) -> pa.Table:
         node = group["node"][0].as_py()
         if node < 0:
@@ -144,7 +148,8 @@ def _relay(route: Route, hop: int, kind: np.dtype):
         _, keys, values = _entries(group, kind)
         keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys, kind="stable")
-        return _table(_cut(route, hop + 1, node // route.fan**hop // route.fan, node, keys[order], values[order]), _MESSAGE)
+        group, part = divmod(node, route.fan**hop)
+        return _table(_cut(route, hop + 1, group // route.fan, part, node, keys[order], values[order], every), _MESSAGE)
 
     return run
 
@@ -156,10 +161,11 @@ def _back(kind: np.dtype):
         node = answers["node"][0].as_py()
         sender, keys, _ = _entries(sent, kind)
         merged, _ = _joined(answers)
-        size = len(merged) // sum(map(len, keys))
-        out = np.empty((sum(map(len, keys)), size), np.uint8)
-        out[np.argsort(np.concatenate(keys), kind="stable")] = np.frombuffer(merged, np.uint8).reshape(-1, size)
-        return _table([(s, node, pack(x)) for s, x in zip(sender, np.split(out, np.cumsum([len(k) for k in keys])[:-1]))], _ANSWER)
+        n = sum(map(len, keys))
+        out = np.empty(n, f"V{len(merged) // max(1, n) or 1}")
+        out[np.argsort(np.concatenate(keys), kind="stable")] = np.frombuffer(merged, out.dtype)
+        noted = notes(answers).tobytes() if answers["note"].null_count == 0 else None
+        return _table([(s, node, pack(x), noted) for s, x in zip(sender, np.split(out, np.cumsum([len(k) for k in keys])[:-1]))], _ANSWER)
 
     return run
 
@@ -173,7 +179,7 @@ def _entries(group: pa.Table, kind: np.dtype) -> tuple[list[int], list[np.ndarra
 def _passed(group: pa.Table) -> pa.Table:
     """A shard's own state as an answer to it."""
     rows = zip(group["node"].to_pylist(), group["sender"].to_pylist(), group["aux"].to_pylist())
-    return _table([r for r in rows if r[1] != STAYS], _ANSWER)
+    return _table([(*r, None) for r in rows if r[1] != STAYS], _ANSWER)
 
 
 def _table(rows: list, schema: pa.Schema) -> pa.Table:
@@ -181,17 +187,21 @@ def _table(rows: list, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _cut(route: Route, hop: int, group: int, sender: int, keys: np.ndarray, aux: np.ndarray) -> list[tuple]:
+def _cut(route: Route, hop: int, group: int, part: int, sender: int, keys: np.ndarray, aux: np.ndarray, every: bool) -> list[tuple]:
+    """Messages to the nodes of this hop that take the keys; to all that take keys of this part, if every."""
     nodes, starts = np.unique(route.node(hop, group, route.bucket(keys)), return_index=True)
+    if every:
+        all_nodes = np.arange(part * route.fan, (part + 1) * route.fan) + (0 if hop == route.hops else group * route.fan**hop)
+        nodes, starts = all_nodes, np.append(starts, len(keys))[np.searchsorted(nodes, all_nodes)]
     return [(int(n), sender, pack_keys(keys[s:e]), pack(aux[s:e])) for n, s, e in zip(nodes, starts, [*starts[1:], len(keys)])]
 
 
-def messages(shard: int, route: Route, keys: np.ndarray, aux: np.ndarray, state: bytes | None = None, stays: bool = False) -> pa.Table:
-    """A row for each node that gets some of the keys (sorted, distinct).
+def messages(shard: int, route: Route, keys: np.ndarray, aux: np.ndarray, state: bytes | None = None, stays: bool = False, every: bool = False) -> pa.Table:
+    """A row for each node that gets some of the keys (sorted, distinct); for all nodes the shard can send to, if every.
 
     The state comes back unchanged to this shard with the answers; or it stays, beside the messages.
     """
-    rows = _cut(route, 1, shard // route.fan, address(shard), keys, aux)
+    rows = _cut(route, 1, shard // route.fan, 0, address(shard), keys, aux, every)
     if state is not None:
         rows.append((address(shard), STAYS if stays else address(shard), b"", state))
     return _table(rows, _MESSAGE)
@@ -208,6 +218,19 @@ def answers(group: pa.Table, kind: str) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(data, np.dtype(kind)), state
 
 
+def notes(group: pa.Table) -> np.ndarray:
+    """The sums of the notes of all buckets."""
+    return np.sum([np.frombuffer(x, np.int64) for x in group["note"].to_pylist() if x is not None], axis=0)
+
+
+def pack_parts(*arrays: np.ndarray) -> bytes:
+    return pickle.dumps([(x.dtype.str, pack(x)) for x in arrays])
+
+
+def unpack_parts(x: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(unpack(data), kind) for kind, data in pickle.loads(x)]
+
+
 def pack_state(*arrays: np.ndarray) -> bytes:
     """Integer arrays as differences, compressed."""
     out = [np.array([len(arrays), *map(len, arrays)], np.int64), *(np.diff(x.astype(np.int64), prepend=0) for x in arrays)]

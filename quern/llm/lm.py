@@ -1,131 +1,259 @@
 """Language-model scoring with a weighted backoff automaton (operator 7).
 
-Model: bigrams with Dirichlet smoothing towards add-one unigrams,
-    p(w) = (c(w) + 1) / (N + V + 1)        p(w | h) = (c(h w) + prior * p(w)) / (c(h) + prior)
-over words and an end token; a start mark is the first history. It sums to one for each history.
-
-The automaton has a state for each history. A state has an arc, weighted log10 p(w | h), for each bigram
-seen in training, and a failure arc, weighted log10(prior / (c(h) + prior)), to the root state, whose arcs
-are the unigrams. One pass over a text carries the state and adds up the weights.
-
-All counts cover the whole corpus and stay distributed: each document shard sends its distinct n-grams
-with their training counts to key buckets and receives their corpus totals; from these it builds the part
-of the automaton that its own texts can reach. Null or empty text: only the end token. A null doc_id is in
-the training part. N-grams are compared by 64-bit keys.
+Model: n-grams with Dirichlet smoothing towards the next shorter history, down to add-one unigrams,
+    p(w) = (c(w) + 1) / (N + V + 1)        p(w | h) = (c(h w) + prior * p(w | h')) / (c(h) + prior)
+over words and an end token; a start mark begins each text, and h' is h without its first word. Histories of
+one word all count; longer ones only if training has them SEEN times or more, else h' stands for h. The
+probabilities of all words after a history sum to one.
+
+The automaton has a state for each history. A state has an arc, weighted log10 p(w | h), for each n-gram
+seen in training, to the longest state that ends the text read so far, and a failure arc, weighted
+log10(prior / (c(h) + prior)), to the state of h'. The root's arcs are the unigrams. One traversal from left
+to right carries the state through a text and adds up the weights.
+
+Texts are read and cut in words once, where they lie: a chunk of about CHUNK bytes becomes word numbers,
+which stay with the chunk. All counts cover the whole corpus and stay distributed: a round of key buckets for
+words and bigrams, and one for each longer order, sends a chunk's distinct n-grams with their training
+counts and answers with their corpus totals; from these the chunk builds the part of the automaton that its
+own texts can reach. Chunks are made in the order of the scan, so docs must come from files or another
+source that gives the same rows in the same order again.
+
+Null or empty text: only the end token. A null doc_id is in the training part. Repeated rows count each.
+An empty table gives no rows. N-grams are compared by 64-bit keys.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quern.llm.common import LAST_ID, mix
-from quern.llm.exchange import NOTE, Batch, Shards, answers, messages, totals
+from quern.llm.common import column_bytes, ids_of, mix, plan_bytes
+from quern.llm.exchange import MESSAGE, STAYS, Route, address, answers, decide, messages, notes, pack_parts, totals, unpack_parts
 
 PRIOR = 300.0
+SEEN = 4
 FOLDS, HELD = 7, 2
+CHUNK = 8 << 20
 
-_START, _END = 0, 1  # ids of the marks; their hashes are fixed values
+_START, _END = 0, 1  # numbers of the marks; their hashes are fixed values
 _MARKS = [0x243F6A8885A308D3, 0x13198A2E03707344]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
+class Chunk:
+    """Texts as word numbers: n tokens for each text, each text's tokens ending in _END."""
 
-class _Grams:
-    """A shard's token sequences with local word ids, and its distinct bigrams."""
+    def __init__(self, ids: np.ndarray, null: np.ndarray, n: np.ndarray, tokens: np.ndarray, hashes: np.ndarray, folds: int, held: int):
+        self.parts = ids, null, n, tokens, hashes
+        self.ids, self.null, self.n, self.hash = ids, null, n, hashes
+        self.tokens = tokens.astype(np.int64)
+        self.size = len(hashes)
+        self.first = np.cumsum(n) - n
+        self.held = np.array([not m and zlib.crc32(str(i).encode()) % folds == held for i, m in zip(ids.tolist(), null.tolist())], bool)
+        self.train = np.repeat(~self.held, n)
 
-    def __init__(self, batch: Batch, folds: int, held: int):
-        ids: dict[bytes, int] = {}
+    @classmethod
+    def read(cls, ids: np.ndarray, null: np.ndarray, texts: list[bytes], folds: int, held: int) -> Chunk:
+        known: dict[bytes, int] = {}
         flat: list[int] = []
         n = []
-        for text in batch.texts:
+        for text in texts:
             words = text.lower().split()
-            flat.append(_START)
-            flat += [ids.setdefault(w, len(ids) + 2) for w in words]
+            flat += [known.setdefault(w, len(known) + 2) for w in words]
             flat.append(_END)
             n.append(len(words) + 1)
-        self.n = np.array(n, np.int64)
-        self.hash = np.array([*_MARKS, *map(xxhash.xxh3_64_intdigest, ids)], np.uint64)
-        self.size = len(self.hash)
-        seq = np.array(flat, np.int64)
-        token = seq != _START
-        self.token = seq[token]
-        self.history = seq[np.flatnonzero(token) - 1]
-        self.bigram, self.arc = np.unique(self.history * self.size + self.token, return_inverse=True)
-        self.held = np.array([i != LAST_ID and zlib.crc32(str(i).encode()) % folds == held for i in batch.ids.tolist()], bool)
-        train = np.repeat(~self.held, self.n)
-        self.c2 = np.bincount(self.arc[train], minlength=len(self.bigram))
-        self.c1 = np.bincount(self.token[train], minlength=self.size)
-        self.c1[_START] = (~self.held).sum()
-        one = mix(self.hash) | np.uint64(1)  # the lowest bit tells words from bigrams
-        two = mix(self.hash[self.bigram // self.size] * np.uint64(0x9E3779B97F4A7C15) + self.hash[self.bigram % self.size]) & ~np.uint64(1)
-        self.keys = np.concatenate([one, two])
-        self.order = np.argsort(self.keys, kind="stable")
+        hashes = np.array([*_MARKS, *map(xxhash.xxh3_64_intdigest, known)], np.uint64)
+        return cls(ids, null, np.array(n, np.int64), np.array(flat, np.uint32), hashes, folds, held)
+
+    def bigrams(self) -> Grams:
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = _START
+        return self._grams(2, np.arange(len(self.tokens)), before, self.hash, self.tokens)
+
+    def longer(self, shorter: Grams, total: np.ndarray, seen: int) -> Grams:
+        """N-grams of one word more, whose history (an n-gram of `shorter`) is a state."""
+        before = np.full(len(self.tokens), -1)
+        before[1:] = shorter.arc[:-1]
+        before[self.first] = -1
+        at = np.flatnonzero(before >= 0)
+        at = at[total[before[at]] >= seen]
+        return self._grams(shorter.order + 1, at, before[at], shorter.keys, shorter.arc)
+
+    def _grams(self, order: int, at: np.ndarray, history: np.ndarray, keys: np.ndarray, below: np.ndarray) -> Grams:
+        """The n-grams that end at these places, with their histories and the n-grams of the order below at all places."""
+        ids, first, own = np.unique(history * self.size + self.tokens[at], return_index=True, return_inverse=True)
+        arc = np.full(len(self.tokens), -1)
+        arc[at] = own
+        history, word = ids // self.size, ids % self.size
+        counts = np.bincount(own[self.train[at]], minlength=len(ids))
+        return Grams(order, history, word, below[at[first]], arc, mix(keys[history] * _STEP + self.hash[word]), counts)
+
+    def words(self) -> np.ndarray:
+        """Training counts of the words; the start mark counts texts."""
+        counts = np.bincount(self.tokens[self.train], minlength=self.size)
+        counts[_START] = (~self.held).sum()
+        return counts
+
+    def first_round(self) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+        """Bigrams, and the keys of words and bigrams with their training counts, and the order in which they are sent."""
+        two = self.bigrams()
+        keys = np.concatenate([mix(self.hash) | np.uint64(1), two.keys & ~np.uint64(1)])  # the lowest bit tells words
+        return two, keys, np.concatenate([self.words(), two.counts]), np.argsort(keys, kind="stable")
+
+    def levels(self, totals_: list[np.ndarray], seen: int) -> tuple[np.ndarray, list[tuple[Grams, np.ndarray]]]:
+        """The words' corpus totals, and the n-grams of each order with theirs, from the answers of the rounds so far."""
+        two, _, _, order = self.first_round()
+        sums = unsorted(totals_[0], order)
+        found = [(two, sums[self.size :])]
+        for sums_ in totals_[1:]:
+            grams = self.longer(*found[-1], seen)
+            found.append((grams, unsorted(sums_, np.argsort(grams.keys, kind="stable"))))
+        return sums[: self.size], found
+
+
+@dataclass
+class Grams:
+    """A chunk's distinct n-grams of one order: history and suffix (numbers in the order below), last word, key, count
+    in the chunk's training texts; arc: the n-gram that ends at each token, or -1."""
+
+    order: int
+    history: np.ndarray
+    word: np.ndarray
+    suffix: np.ndarray
+    arc: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+
+
+def unsorted(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    out[order] = x
+    return out
 
 
 class Automaton:
-    """States are histories; arcs are the bigrams seen in training; all other words leave by the failure arc."""
+    """States: 0 the root, 1 + w the history of one word w, then the longer ones. An arc is found by state * size + word."""
 
-    def __init__(self, grams: _Grams, c1: np.ndarray, c2: np.ndarray, n: int, v: int, prior: float):
+    def __init__(self, size: int, c1: np.ndarray, levels: list[tuple[Grams, np.ndarray]], n: int, v: int, prior: float, seen: int):
+        self.size, used = size, size + 1
+        words = np.arange(size)
         self.root = np.log10((c1 + 1) / (n + v + 1))
-        history = grams.bigram // grams.size
-        word = grams.bigram % grams.size
-        self.seen = c2 > 0
-        self.failure = np.log10(prior / (c1 + prior))
-        self.weight = np.log10((c2 + prior * 10 ** self.root[word]) / (c1[history] + prior))
+        arcs, weights, targets = [words], [self.root], [1 + words]
+        failure, penalty = [np.zeros(size + 1, np.int64)], [np.zeros(1), np.log10(prior / (c1 + prior))]
+        p, count, state, longest = 10**self.root, c1, 1 + words, 1 + words  # of the order below
+        for grams, total in levels:
+            p = (total + prior * p[grams.suffix]) / (count[grams.history] + prior)
+            from_, back = state[grams.history], longest[grams.suffix]
+            new = (total >= seen) & (grams.word != _END) & (grams.order <= len(levels))  # a history of the next order
+            state = np.where(new, used + np.cumsum(new) - 1, -1)
+            used += int(new.sum())
+            failure.append(back[new])
+            penalty.append(np.log10(prior / (total[new] + prior)))
+            longest, count, known = np.where(new, state, back), total, total > 0
+            arcs.append(from_[known] * size + grams.word[known])
+            weights.append(np.log10(p[known]))
+            targets.append(longest[known])
+        self.arcs = dict(zip(np.concatenate(arcs).tolist(), range(sum(map(len, arcs)))))
+        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.failure, self.penalty = np.concatenate(failure).tolist(), np.concatenate(penalty).tolist()
 
-    def traverse(self, grams: _Grams) -> np.ndarray:
-        """The weight of each token, texts read from left to right: the state is the word before."""
-        leave = self.failure[grams.history] + self.root[grams.token]
-        return np.where(self.seen[grams.arc], self.weight[grams.arc], leave)
+    def traverse(self, tokens: list[int]) -> float:
+        """The log10 probability of a text, read from left to right."""
+        arcs, weights, targets, failure, penalty, size = self.arcs, self.weights, self.targets, self.failure, self.penalty, self.size
+        state, total = 1 + _START, 0.0
+        for word in tokens:
+            arc = arcs.get(state * size + word)
+            while arc is None:
+                total += penalty[state]
+                state = failure[state]
+                arc = arcs.get(state * size + word)
+            total += weights[arc]
+            state = targets[arc]
+        return total
 
 
-def score_documents(docs: DataFrame, prior: float = PRIOR, folds: int = FOLDS, held: int = HELD) -> DataFrame:
+def score_documents(docs: DataFrame, prior: float = PRIOR, folds: int = FOLDS, held: int = HELD, order: int = 2, seen: int = SEEN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
-    shards = Shards(docs)
-    route = shards.route
-
-    def count(group: pa.Table) -> pa.Table:
-        batch = Batch(group)
-        grams = _Grams(batch, folds, held)
-        counts = np.concatenate([grams.c1, grams.c2]).astype(np.uint32)
-        return messages(batch.shard, route, grams.keys[grams.order], counts[grams.order])
-
-    def score(group: pa.Table, got: pa.Table) -> pa.Table:
-        batch = Batch(group)
-        grams = _Grams(batch, folds, held)
-        sums, _ = answers(got, "i8")
-        counts = np.empty(len(sums), np.int64)
-        counts[grams.order] = sums
-        c1, c2 = counts[: grams.size], counts[grams.size :]
-        v, train = got["v"][0].as_py() or 0, got["n"][0].as_py() or 0
-        automaton = Automaton(grams, c1, c2, train, v, prior)
-        starts = np.cumsum(grams.n) - grams.n
-        add = lambda x: np.add.reduceat(x, starts)
-        return pa.table(
-            {
-                "doc_id": batch.rows["doc_id"].combine_chunks(),
-                "held_out": pa.array(grams.held),
-                "n_tokens": grams.n,
-                "n_known": add((c1[grams.token] > 0).astype(np.int64)),
-                "train_tokens": np.full(len(grams.n), train, np.int64),
-                "base_score": add(automaton.root[grams.token]),
-                "score": add(automaton.traverse(grams)),
-            }
-        )
-
-    found = shards.decide(shards.first(count), "u4", totals, _vocabulary)
-    note = F.split(F.col("data").cast("string"), ",")
-    notes = found.filter(F.col("node") == NOTE).agg(F.sum(note[0].cast("long")).alias("v"), F.sum(note[1].cast("long")).alias("n"))
-    found = found.filter(F.col("node") != NOTE).withColumns({"v": notes.select("v").scalar(), "n": notes.select("n").scalar()})
-    return shards.again(found, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _vocabulary(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    route = Route.of(plan_bytes(docs))
+
+    def read(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        ids, null, texts, size = [], [], [], 0
+
+        def sent():
+            chunk = Chunk.read(np.concatenate(ids), np.concatenate(null), texts, folds, held)
+            _, keys, counts, order_ = chunk.first_round()
+            return messages(number << 24 | part, route, keys[order_], counts[order_].astype(np.uint32), pack_parts(*chunk.parts), stays=True, every=True).to_batches()
+
+        for batch in batches:
+            all_texts, start = column_bytes(batch["text"]), 0
+            all_ids, all_null = ids_of(batch["doc_id"]), np.asarray(batch["doc_id"].is_null())
+            while start < len(all_texts):
+                stop = start
+                while stop < len(all_texts) and size < CHUNK:
+                    size += len(all_texts[stop])
+                    stop += 1
+                ids.append(all_ids[start:stop])
+                null.append(all_null[start:stop])
+                texts += all_texts[start:stop]
+                start = stop
+                if size >= CHUNK:
+                    yield from sent()
+                    number += 1
+                    ids, null, texts, size = [], [], [], 0
+        if texts:
+            yield from sent()
+
+    def extend(own: pa.Table, got: pa.Table) -> pa.Table:
+        if not len(got):  # messages to a bucket
+            return own.slice(0, 0)
+        chunk, marks, sums = _state(own, got, folds, held)
+        _, levels = chunk.levels(sums, seen)
+        grams = chunk.longer(*levels[-1], seen)
+        order_ = np.argsort(grams.keys, kind="stable")
+        state = pack_parts(marks, *(x.astype(np.uint32) if x.max(initial=0) < 2**32 else x for x in sums))
+        return messages(address(own["node"][0].as_py()), route, grams.keys[order_], grams.counts[order_].astype(np.uint32), state)
+
+    def score(own: pa.Table, got: pa.Table) -> pa.Table:
+        if not len(got):
+            return pa.table([pa.array([], t) for t in _KINDS], names=_NAMES)
+        chunk, (v, train), sums = _state(own, got, folds, held)
+        c1, levels = chunk.levels(sums, seen)
+        automaton = Automaton(chunk.size, c1, levels, int(train), int(v), prior, seen)
+        tokens = chunk.tokens.tolist()
+        scores = [automaton.traverse(tokens[a : a + n]) for a, n in zip(chunk.first.tolist(), chunk.n.tolist())]
+        add = lambda x: np.add.reduceat(x, chunk.first)
+        found = [pa.array(chunk.ids, mask=chunk.null), pa.array(chunk.held), chunk.n, add((c1[chunk.tokens] > 0).astype(np.int64)), np.full(len(chunk.n), train), add(automaton.root[chunk.tokens]), scores]
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, _KINDS)], names=_NAMES)
+
+    sent = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(read, MESSAGE)
+    found = decide(route, sent, "u4", totals, _vocabulary)
+    for _ in range(2, order):
+        found = decide(route, sent.groupBy("node").cogroup(found.groupBy("node")).applyInArrow(extend, MESSAGE), "u4", totals)
+    return sent.groupBy("node").cogroup(found.groupBy("node")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+_NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+
+def _state(own: pa.Table, got: pa.Table, folds: int, held: int) -> tuple[Chunk, np.ndarray, list[np.ndarray]]:
+    """The chunk, (V, N), and the answers of all rounds so far."""
+    (stayed,) = (a for s, a in zip(own["sender"].to_pylist(), own["aux"].to_pylist()) if s == STAYS)
+    newest, state = answers(got, "i8")
+    before = unpack_parts(state) if state else [notes(got)]
+    return Chunk(*unpack_parts(stayed), folds, held), before[0], [*(x.astype(np.int64) for x in before[1:]), newest]
+
+
+def _vocabulary(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A bucket's distinct training words, and their tokens; the start mark is no token."""
     start = mix(np.array(_MARKS[:1], np.uint64)) | np.uint64(1)
     word = ((keys & np.uint64(1)) == 1) & (keys != start[0]) & (counts > 0)
-    return f"{len(np.unique(keys[word]))},{int(counts[word].astype(np.int64).sum())}".encode()
+    return np.array([len(np.unique(keys[word])), counts[word].astype(np.int64).sum()], np.int64)

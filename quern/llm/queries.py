@@ -45,7 +45,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    return lm.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

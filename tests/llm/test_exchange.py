@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import exchange, substring
-from quern.llm.exchange import Batch, Route, Shards, answers, messages, pack_keys, totals, unpack_keys
+from quern.llm.exchange import Batch, Route, Shards, answers, messages, notes, pack_keys, totals, unpack_keys
 
 
 def test_packed_keys():
@@ -45,7 +45,7 @@ def test_totals_over_hops(spark, monkeypatch, fan, bucket):
         keys, counts = np.unique(mixed(np.array(words, np.uint64)), return_counts=True)
         sums, state = answers(got, "i8")
         assert not len(batch.texts) or state == b"state%d" % batch.shard
-        return pa.table({"n": [int(counts.sum())], "square": [int((sums * counts).sum())]})
+        return pa.table({"n": [int(counts.sum())], "square": [int((sums * counts).sum())], "distinct": [int(notes(got)[0])]})
 
     def mixed(x):
         return x * np.uint64(0x9E3779B97F4A7C15)
@@ -53,13 +53,12 @@ def test_totals_over_hops(spark, monkeypatch, fan, bucket):
     def emit(group):
         batch = Batch(group)
         keys, counts = np.unique(mixed(np.array([int(w) for t in batch.texts for w in t.split()], np.uint64)), return_counts=True)
-        return messages(batch.shard, route, keys, counts.astype(np.uint32), b"state%d" % batch.shard)
+        return messages(batch.shard, route, keys, counts.astype(np.uint32), b"state%d" % batch.shard, every=True)
 
-    found = shards.decide(shards.first(emit), "u4", totals, lambda keys, n: str(len(np.unique(keys))).encode())
-    out = shards.again(found.filter("node <> %d" % exchange.NOTE), check, "n long, square long").agg(F.sum("n"), F.sum("square")).first()
-    assert tuple(out) == (want[0], want[2])
-    notes = [int(r.data) for r in found.filter("node = %d" % exchange.NOTE).collect()]
-    assert sum(notes) == want[1]
+    found = shards.decide(shards.first(emit), "u4", totals, lambda keys, n: np.array([len(np.unique(keys)), 1]))
+    out = shards.again(found, check, "n long, square long, distinct long")
+    assert tuple(out.agg(F.sum("n"), F.sum("square")).first()) == (want[0], want[2])
+    assert {r.distinct for r in out.collect()} == {want[1]}  # every shard learns the sum over all buckets
 
 
 def test_rows_of_a_hop_do_not_grow_with_the_square(spark, monkeypatch):
@@ -83,7 +82,7 @@ def test_rows_of_a_hop_do_not_grow_with_the_square(spark, monkeypatch):
         for hop in range(1, shards.route.hops + 1):
             total += sent.count()
             if hop < shards.route.hops:
-                sent = sent.groupBy("node").applyInArrow(exchange._relay(shards.route, hop, np.dtype("u4")), exchange.MESSAGE)
+                sent = sent.groupBy("node").applyInArrow(exchange._relay(shards.route, hop, np.dtype("u4"), False), exchange.MESSAGE)
         return total / shards.route.hops
 
     assert rows(400) < 5 * rows(100)
