@@ -6,13 +6,14 @@
 2. Windows around such a phrase are candidates. A second round tells each shard which of its distinct
    candidates a smaller document holds: with those that recur within the shard, these are the passages
    confirmed to recur. Of each, only one place and the smallest document are remembered.
-3. Each shard compiles its confirmed passages into Aho-Corasick automata of at most PATTERNS windows and
-   streams all its documents through each. The occurrences found, and nothing else, are what is removed: a
-   hit covers its words if a smaller document than the hit's holds the passage.
-
-Automata are cut by document shard and by number of windows, so their memory is bounded, however large the
-corpus. They read words as numbers, two or three letters each, so that a step is a third of a word, not a byte.
-Windows are compared by 64-bit keys. Null or empty text: no words. A null doc_id counts as the largest.
+3. Each shard compiles the phrases of its confirmed passages into Aho-Corasick automata of at most PATTERNS
+   phrases and streams all its documents through each. Each hit is extended to the windows around it, which are
+   compared with the confirmed ones: these occurrences, and no others, are removed where a smaller document than
+   their own holds the passage.
+
+Automata are cut by document shard and by number of phrases, so their memory is bounded, however large the
+corpus. They read a letter for each word, eight bits of its hash, so a step is a word, not a byte. Words and
+windows are compared by 64-bit keys. Null or empty text: no words. A null doc_id counts as the largest.
 Rows with one doc_id are judged alike: none is smaller than the others. An empty table gives no rows.
 """
 
@@ -20,95 +21,90 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import window_hash
 from quern.llm.exchange import Batch, Shards, answers, messages, minima, pack, runs, totals, unpack
+from quern.llm.rolling import Hashes
 
 WINDOW = 13
 SEED = 5
-PATTERNS = 1 << 14
+PATTERNS = 1 << 16
+_PIECE = 1 << 20  # bytes hashed at once
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 class _Words:
-    """The words of a shard as numbers, one document after another."""
+    """The words of a shard as hashes, one document after another."""
 
     def __init__(self, batch: Batch):
-        self.lists = [t.split() for t in batch.texts]
-        self.counts = np.array([len(x) for x in self.lists], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        self.doc = np.repeat(np.arange(len(self.lists)), self.counts)
-        words = list(itertools.chain.from_iterable(self.lists))
-        self.known = {w: i for i, w in enumerate(set(words))}
-        self.numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.known), np.uint64, len(self.known))[self.numbers]
-
-    def picks(self, hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows, the place of each one's phrase, and the keys of phrases by place."""
-        left = self.starts[1:][self.doc] - np.arange(len(hashes))  # words from here to the end
-        at = np.flatnonzero(left >= window)
-        keys = window_hash(hashes, seed)
+        data = np.frombuffer(b"\n".join([*batch.texts, b""]), np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        self.begin, self.end = edge[::2], edge[1::2]
+        stop = np.cumsum([len(t) + 1 for t in batch.texts])
+        self.starts = np.concatenate([[0], np.searchsorted(self.begin, stop)]).astype(np.int64)
+        self.counts = np.diff(self.starts)
+        self.doc = np.repeat(np.arange(len(batch.texts)), self.counts)
+        self.left = self.starts[1:][self.doc] - np.arange(len(self.begin))  # words from here to the end
+        self.hashes = np.zeros(len(self.begin), np.uint64)
+        first = 0
+        while first < len(self.begin):
+            low = self.begin[first]
+            last = max(first + 1, int(np.searchsorted(self.end, low + _PIECE, side="right")))
+            part = Hashes(data, int(low), int(self.end[last - 1]))
+            self.hashes[first:last] = part.of(self.begin[first:last], self.end[first:last])
+            first = last
+
+    def picks(self, at: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each window's phrase, and the keys of phrases by place."""
+        keys = window_hash(self.hashes, seed)
         span = window - seed + 1
         low = np.uint64((1 << span.bit_length()) - 1)
         best = np.full(len(at), ~np.uint64(0))
         for j in range(span):
             np.minimum(best, (keys[at + j] & ~low) | np.uint64(j), out=best)
-        return at, at + (best & low).astype(np.int64), keys
+        return at + (best & low).astype(np.int64), keys
+
+    def windows(self, window: int) -> np.ndarray:
+        return np.flatnonzero(self.left >= window)
+
+    def letters(self) -> str:
+        return (self.hashes >> np.uint64(56)).astype(np.uint8).tobytes().decode("latin-1")
 
 
-def automata(numbers: np.ndarray, places: np.ndarray, window: int) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
-    """Compiles the windows at these places; the result maps a text to the ends of all occurrences and the window's index."""
-    digits = _digits(numbers)
+def automata(phrases: list[str]):
+    """Compiles the phrases, sorted; the result maps a text to the ends of all their occurrences."""
     built = []
-    for first in range(0, len(places), PATTERNS):
-        one = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        each = numbers[places[first : first + PATTERNS, None] + np.arange(window)]
-        text, size = letters(each.ravel(), digits), window * digits
-        for i in range(len(each)):
-            one.add_word(text[i * size : (i + 1) * size], first + i)
+    for first in range(0, len(phrases), PATTERNS):
+        one = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in phrases[first : first + PATTERNS]:
+            one.add_word(phrase)
         one.make_automaton()
         built.append(one)
-
-    def find(text: str) -> tuple[np.ndarray, np.ndarray]:
-        flat = [np.fromiter(itertools.chain.from_iterable(one.iter(text)), np.int64).reshape(-1, 2) for one in built]
-        hits = np.concatenate(flat) if flat else np.zeros((0, 2), np.int64)
-        return hits[:, 0], hits[:, 1]
-
-    return find
-
-
-def _digits(numbers: np.ndarray) -> int:
-    return 2 if numbers.max(initial=0) < (1 << 16) - 1 else 3
-
-
-def letters(numbers: np.ndarray, digits: int) -> str:
-    """Each number as letters: first one below 256, then one or two from 256 on, so matches begin where a word begins."""
-    out = np.empty((len(numbers), digits), "<u2")
-    out[:, 0] = numbers >> (8 * (digits - 1))
-    for k in range(1, digits):
-        out[:, k] = 256 + (numbers >> (8 * (digits - 1 - k)) & 255)
-    return out.tobytes().decode("utf-16-le")
-
-
-def occurrences(words: _Words, places: np.ndarray, window: int, build=automata) -> tuple[np.ndarray, np.ndarray]:
-    """(place, window's index) of each occurrence, in any document, of the windows at these places."""
-    if not len(places):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    digits = _digits(words.numbers)
-    slots = np.full(len(words.numbers) + len(words.lists), (1 << 8 * digits) - 1)  # a word that no pattern has, after each document
-    slots[np.arange(len(words.numbers)) + words.doc] = words.numbers
-    ends, which = build(words.numbers, places, window)(letters(slots, digits))
-    slot = (ends + 1) // digits - window
-    return slot - np.searchsorted(words.starts[1:] + np.arange(len(words.lists)), slot, side="right"), which
+    return lambda text: np.fromiter((end for one in built for end, _ in one.iter(text)), np.int64)
+
+
+def occurrences(words: _Words, places: np.ndarray, window: int, seed: int, build=automata) -> tuple[np.ndarray, np.ndarray]:
+    """(place, index in places) of each occurrence, in any document, of the distinct windows at these places."""
+    text = words.letters()
+    phrase, _ = words.picks(places, window, seed)
+    hits = build(sorted({text[p : p + seed] for p in np.unique(phrase).tolist()}))(text) - seed + 1
+    near = np.zeros(len(text) + window, bool)
+    for j in range(window - seed + 1):
+        near[np.maximum(hits - j, 0)] = True
+    at = np.flatnonzero(near[: len(text)] & (words.left >= window))
+    keys = window_hash(words.hashes, window)
+    order = np.argsort(keys[places])
+    known = keys[places][order]
+    found = np.minimum(np.searchsorted(known, keys[at]), max(0, len(known) - 1))
+    same = known[found] == keys[at] if len(known) else np.zeros(0, bool)
+    return at[same], order[found[same]]
 
 
 def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int = WINDOW, seed: int = SEED, build=automata) -> DataFrame:
@@ -123,7 +119,7 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int =
     def phrases(group: pa.Table) -> pa.Table:
         batch = Batch(group)
         words = _Words(batch)
-        _, place, keys = words.picks(words.hashes(), window, seed)
+        place, keys = words.picks(words.windows(window), window, seed)
         place = place[runs(place)]
         keys, ids = keys[place], batch.ids[words.doc[place]]
         order = np.lexsort((ids, keys))
@@ -136,14 +132,14 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int =
     def passages(group: pa.Table, got: pa.Table) -> pa.Table:
         batch = Batch(group)
         words = _Words(batch)
-        hashes = words.hashes()
-        at, place, keys = words.picks(hashes, window, seed)
+        at = words.windows(window)
+        place, keys = words.picks(at, window, seed)
         recurs, _ = answers(got, "u1")
         first = runs(place)
-        found = np.zeros(len(words.numbers), bool)
+        found = np.zeros(len(words.hashes), bool)
         found[place[first]] = recurs[np.unique(keys[place[first]], return_inverse=True)[1]].astype(bool)
         at = at[found[place]]
-        keys = window_hash(hashes, window)[at]
+        keys = window_hash(words.hashes, window)[at]
         ids = batch.ids[words.doc[at]]
         order = np.lexsort((ids, keys))
         starts = runs(keys[order])
@@ -157,32 +153,33 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = (), window: int =
         batch = Batch(group)
         words = _Words(batch)
         elsewhere, state = answers(got, "u1")
-        gone = np.zeros(len(words.numbers), bool)
+        gone = np.zeros(len(words.hashes), bool)
         if len(elsewhere):
             places, several = _places(state, len(elsewhere))
             known = elsewhere.astype(bool)
             confirmed = known | several
             places, known = places[confirmed].astype(np.int64), known[confirmed]
             least = batch.ids[words.doc[places]]
-            where, which = occurrences(words, places, window, build)
+            where, which = occurrences(words, places, window, seed, build)
             where = where[known[which] | (batch.ids[words.doc[where]] > least[which])]
-            edge = np.zeros(len(words.numbers) + window + 1, np.int32)
+            edge = np.zeros(len(words.hashes) + window + 1, np.int32)
             np.add.at(edge, where, 1)
             np.add.at(edge, where + window, -1)
-            gone = np.cumsum(edge)[: len(words.numbers)] > 0
+            gone = np.cumsum(edge)[: len(words.hashes)] > 0
         n_removed, digests, spans, texts = [], [], [], []
-        for k, own in enumerate(words.lists):
+        for k, whole in enumerate(batch.texts):
             cut = gone[words.starts[k] : words.starts[k + 1]]
+            own = whole.split()
             if cut.any():
-                step = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]])))
-                spans.append([{"start": int(s), "stop": int(e)} for s, e in step.reshape(-1, 2)])
-                kept = b" ".join([w for w, g in zip(own, cut.tolist()) if not g])
+                step = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                spans.append([{"start": s, "stop": e} for s, e in step])
+                kept = b" ".join(itertools.compress(own, (~cut).tolist()))
                 texts.append(kept)
             else:
                 spans.append([])
                 kept = b" ".join(own)
                 texts.append(None)
-            n_removed.append(int(cut.sum()))
+            n_removed.append(int(np.count_nonzero(cut)))
             digests.append(hashlib.sha256(kept).hexdigest())
         rows = batch.rows
         text = [old if new is None else new.decode() for new, old in zip(texts, rows["text"].to_pylist())]

@@ -26,44 +26,11 @@ from pyspark.sql import DataFrame
 
 from quern.llm.common import mix
 from quern.llm.exchange import Batch, Shards, answers, messages, pack_state, runs, totals, unpack_state
+from quern.llm.rolling import Hashes
 
 LENGTH = 400
 _GRAM, _SPAN, _BLOCK, _CHUNK = 32, 192, 64, 1 << 20
 _PAIR = [("key", "<u8"), ("n", "<u4")]
-_BASE = 0xD6E8FEB86659FD93
-
-
-class _Powers:
-    """Powers of the hash's base and of its inverse, made once in a process."""
-
-    up = down = None
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if cls.up is None or len(cls.up) < n:
-            steps = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-            for x in steps:
-                x[0] = 1
-            cls.up, cls.down = (np.cumprod(x, dtype=np.uint64) for x in steps)
-        return cls.up, cls.down
-
-
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-class _Hashes:
-    """Hashes of any ranges of data[start:stop], by the ranges' absolute ends."""
-
-    def __init__(self, data: np.ndarray, start: int, stop: int):
-        part = data[start:stop]
-        self.start = start
-        up, self.down = _Powers.of(max(len(part), _CHUNK + 2 * LENGTH))
-        self.sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[part] * up[: len(part)], out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        s, e = starts - self.start, stops - self.start
-        return mix((self.sums[e] - self.sums[s]) * self.down[s])
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -91,14 +58,14 @@ class _Bytes:
         cuts = np.searchsorted(at, np.arange(0, len(self.data) + _CHUNK, _CHUNK))
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if b > a:
-                yield _Hashes(self.data, k * _CHUNK, min(len(self.data), (k + 1) * _CHUNK + LENGTH + 2 * _SPAN)), slice(a, b)
+                yield Hashes(self.data, k * _CHUNK, min(len(self.data), (k + 1) * _CHUNK + LENGTH + 2 * _SPAN)), slice(a, b)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For runs of string starts lo..hi with one anchor: lo, hi, anchor, and the key of the bytes from the anchor on."""
         out = []
         low = np.uint64((1 << 28) - 1)
         for a in range(0, len(self.data), _CHUNK):
-            hashes = _Hashes(self.data, a, min(len(self.data), a + _CHUNK + LENGTH))
+            hashes = Hashes(self.data, a, min(len(self.data), a + _CHUNK + LENGTH))
             n = len(hashes.sums) - 1
             if n < LENGTH:
                 continue
