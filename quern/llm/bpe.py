@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from quern.llm.common import column_bytes
 
-LEAF = 16384
+LEAF = 256  # characters
 _coders: dict[int, Coder] = {}
 
 
@@ -31,9 +31,7 @@ class Coder:
     def __init__(self, ranks: bytes, pattern: str, leaf: int = LEAF):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.plain = tiktoken.Encoding("quern", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.size = np.zeros(max(table.values()) + 1, np.int64)
-        for token, rank in table.items():
-            self.size[rank] = len(token)
+        self.size = {rank: len(token) for token, rank in table.items()}
         self.leaf = leaf
 
     def encode(self, text: str) -> list[int]:
@@ -55,13 +53,14 @@ class Coder:
         while j < stop and not stable(text, j):
             j = next((k for k in range(j + 1, min(stop, middle + reach)) if stable(text, k)), min(stop, middle + reach))
             reach *= 2
-        return left[: len(left) - self._tokens(left[::-1], text[i:middle])] + self.plain.encode_ordinary(text[i:j]) + right[self._tokens(right, text[middle:j]) :]
+        before, after = len(left) - self._tokens(reversed(left), text[i:middle]), self._tokens(right, text[middle:j])
+        return left[:before] + self.plain.encode_ordinary(text[i:j]) + right[after:]
 
-    def _tokens(self, ids: list[int], text: str) -> int:
+    def _tokens(self, ids, text: str) -> int:
         """How many of the first ids spell this text."""
-        n, left = 0, len(text.encode())
+        n, left, ids = 0, len(text.encode()), iter(ids)
         while left > 0:
-            left -= int(self.size[ids[n]])
+            left -= self.size[next(ids)]
             n += 1
         return n
 
