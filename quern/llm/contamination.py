@@ -64,7 +64,7 @@ def rarest_of(items: DataFrame, index: DataFrame, near: float) -> DataFrame:
     each = items.select("item", (2 * F.size("item_words")).alias("span"), F.size(F.array_distinct("item_words")).alias("size"), F.explode(F.array_distinct("item_words")).alias("word"))
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     own = Window.partitionBy("item")
-    ranked = each.withColumn("term", F.xxhash64("word")).join(counts, "term").withColumns({"number": F.row_number().over(own.orderBy("n", "term")) - 1, "present": F.count("*").over(own)})
+    ranked = each.withColumn("term", F.xxhash64("word")).join(counts, "term").withColumns({"number": F.row_number().over(own.orderBy("n", "word")) - 1, "present": F.count("*").over(own)})
     chosen = ranked.filter((F.col("number") < RAREST) & (F.col("present") >= F.ceil(F.col("size") * near)))
     return chosen.select("term", "item", "number", F.least("present", F.lit(RAREST)).alias("n_terms"), "span")
 

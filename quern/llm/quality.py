@@ -2,14 +2,17 @@
 
 Each document gets whole-text counts and rates. A sketch for each language and source holds, for each rate,
 how many documents fall in each bucket of a log-linear scale (32 buckets for each power of two, so a
-quantile is at most 1/32 too low). Sketches merge by adding counts, so they come from a plain partial
+quantile is known to 1/32). Sketches merge by adding counts, so they come from a plain partial
 aggregation over the documents that pass the base rule. A group's sketch is taken together with PRIOR documents
 spread like its language's, and a language's with PRIOR spread like all, so the fewer documents a group has the
-more its language counts, at any size of the input. Thresholds are fences around the first quartile and
-an upper quantile of the group's sketch, as wide as a multiple of the range between them; documents join their
-group's thresholds and pass if all rates lie inside.
+more its language counts, at any size of the input; weights are whole numbers of 1 / UNIT documents.
+
+Fences come from the group's quantiles alone: they lie outside the first quartile and the rate's upper quantile
+by a multiple of the range between them. A group without spread in a rate has fences at the edges of the one
+bucket that holds its quartile and upper quantile. Documents join their group's fences and pass if all rates lie inside.
 
 Null or empty text: zero counts, which fails the base rule. Null language or source: a group like any other.
+Repeated rows count each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from quern.llm.common import column_bytes, stored
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50  # base rule: words, per cent of words in repeated windows
-RATES = {"word_length": (0.75, 5.0, 100), "symbols": (0.75, 3.0, 300), "dup_lines": (0.98, 2.0, 300), "repeats": (0.95, 3.0, 300)}
-"""Rates per 10,000 words (dup_lines: lines; word_length: thousandths of a character): upper quantile, fence factor on
-the range from the first quartile to it, least width (for groups without spread)."""
-PRIOR = 20
+RATES = {"word_length": (75, 5), "symbols": (75, 3), "dup_lines": (98, 2), "repeats": (95, 3)}
+"""Rates per 10,000 words (dup_lines: lines; word_length: thousandths of a character): per cent of the documents at
+most at the upper quantile, and how many times the range from the first quartile to it the fences lie outside both."""
+PRIOR, UNIT = 20, 1 << 20
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _LINES = "n_lines long"
@@ -77,10 +80,19 @@ def base_failed(min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) ->
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
 
 
+def _low(x: Column) -> Column:
+    """How many low bits of x its bucket leaves open."""
+    return F.greatest(F.length(F.bin(x)) - 6, F.lit(0))
+
+
 def bucket(x: Column) -> Column:
     """The least value of x's bucket: x with all but its six highest bits cleared."""
-    low = F.greatest(F.length(F.bin(x)) - 6, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", x, low), low)
+    return F.call_function("shiftleft", F.call_function("shiftright", x, _low(x)), _low(x))
+
+
+def top(x: Column) -> Column:
+    """The largest value of x's bucket."""
+    return bucket(x) + F.call_function("shiftleft", F.lit(1).cast("long"), _low(x)) - 1
 
 
 def sketch(measured: DataFrame) -> DataFrame:
@@ -91,20 +103,21 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 
 def shrunk(sketches: DataFrame, keys: list[str], towards: DataFrame | None = None, prior: int = PRIOR) -> DataFrame:
-    """(keys, rate, value, up, all): cumulative weights of the sketches merged by keys, with the prior's documents.
+    """(keys, rate, value, weight, up, all): cumulative weights, in units, of the sketches merged by keys, with the prior's.
 
     towards: such a table for the first of the keys, or for none of them.
     """
-    counts = sketches.select(*keys, "rate", "value", "n", F.lit(0.0).alias("given"))
+    counts = sketches.select(*keys, "rate", "value", (F.col("n") * UNIT).alias("weight"))
     if towards is not None:
         outer = [k for k in keys if k in towards.columns]
         groups = sketches.select(*keys, "rate").distinct()
-        share = towards.select(*(F.col(k).alias(f"__{k}") for k in outer), F.col("rate").alias("__rate"), "value", (F.col("weight") / F.col("all") * prior).alias("given"))
+        given = F.expr(f"cast(weight as decimal(38, 0)) * {prior * UNIT} div all")
+        share = towards.select(*(F.col(k).alias(f"__{k}") for k in outer), F.col("rate").alias("__rate"), "value", given.alias("weight"))
         same = F.col("rate") == F.col("__rate")
         for k in outer:
             same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-        counts = counts.unionByName(groups.join(share, same).select(*keys, "rate", "value", F.lit(0).cast("long").alias("n"), "given"))
-    merged = counts.groupBy(*keys, "rate", "value").agg((F.sum("n") + F.sum("given")).alias("weight"))
+        counts = counts.unionByName(groups.join(share, same).select(*keys, "rate", "value", "weight"))
+    merged = counts.groupBy(*keys, "rate", "value").agg(F.sum("weight").alias("weight"))
     each = Window.partitionBy(*keys, "rate").orderBy("value")
     whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return merged.withColumns({"up": F.sum("weight").over(each), "all": F.sum("weight").over(whole)})
@@ -117,10 +130,10 @@ def of_rate(i: int) -> Column:
 def thresholds(sketches: DataFrame, prior: int = PRIOR) -> DataFrame:
     """(lang, source, rate) -> low, high; see RATES."""
     lang = shrunk(sketches, ["lang"], shrunk(sketches, []), prior)
-    at = lambda q: F.min(F.when(F.col("up") >= F.col("all") * q, F.col("value")))
-    found = shrunk(sketches, ["lang", "source"], lang, prior).groupBy("lang", "source", "rate").agg(at(0.25).alias("q1"), at(of_rate(0)).alias("top"))
-    width = F.greatest(of_rate(1) * (F.col("top") - F.col("q1")), of_rate(2))
-    return found.select("lang", "source", "rate", (F.col("q1") - width).alias("low"), (F.col("top") + width).alias("high"))
+    at = lambda per_cent: F.min(F.when(F.col("up") * 100 >= F.col("all") * per_cent, F.col("value")))
+    found = shrunk(sketches, ["lang", "source"], lang, prior).groupBy("lang", "source", "rate").agg(at(25).alias("q1"), at(of_rate(0)).alias("upper"))
+    width = of_rate(1) * (F.col("upper") - F.col("q1"))
+    return found.select("lang", "source", "rate", (F.col("q1") - width).alias("low"), (top(F.col("upper")) + width).alias("high"))
 
 
 def apply_rules(docs: DataFrame, prior: int = PRIOR, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> DataFrame:

@@ -1,0 +1,104 @@
+"""Sizes of shards, token ids, long texts and sketches: what tests of the operators' other columns leave open."""
+
+import base64
+import hashlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import tiktoken
+
+from quern.llm import bpe, chat, cotrain, quality, sharding, suffix
+
+
+def test_shards_hold_nearly_equal_bytes_and_few_slots_move(spark):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, "x" * int(rng.integers(1, 400))) for i in range(20000)], "doc_id long, text string")
+    found = sharding.records(docs)
+    loads = sharding.slot_bytes(found)
+    old = sharding.build_map(loads, shards=8)
+    new = sharding.rebalance(old, loads, 9)
+
+    def shares(slot_map, shards):
+        size = Counter()
+        for r in sharding.assign(found, slot_map, loads).groupBy("shard").sum("size").collect():
+            size[r[0]] = r[1]
+        mean = sum(size.values()) / shards
+        return [size[s] / mean for s in range(shards)]
+
+    assert all(abs(x - 1) < 0.01 for x in shares(old, 8))
+    assert all(abs(x - 1) < 0.03 for x in shares(new, 9))
+    moved = [(a, b) for a, b in zip(old, new) if a != b]
+    assert all(b == 8 for _, b in moved) and len(moved) < 1.1 * len(old) / 9
+
+
+def test_ids_of_documents_are_those_of_the_library(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb").read().splitlines())}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(2)
+    letters = list("abcdeé漢 \n\t'.12\U0001f600")
+    texts = [None, "", "short", "nospace" * 900, " " * 3000, "a b " * 5000] + ["".join(rng.choice(letters, int(n))) for n in rng.integers(200, 3000, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert sum(len(t or "") > bpe.LEAF for t in texts) > 30
+    for r in bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect():
+        assert list(r.ids) == want[r.doc_id] and r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(want[r.doc_id], "<u4").tobytes()).hexdigest()
+
+
+def test_bytes_across_the_seam_of_chunks(spark):
+    rng = np.random.default_rng(5)
+    seam = suffix._CHUNK
+    text = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage, edge = text(900), text(400)
+    long = text(seam - 450) + passage + text(seam - 900 - 200) + edge + text(500) + passage[:399]
+    texts = [long, "start " + passage + " end", edge[1:] + "!", edge + text(50)]
+    count = Counter()
+    for t in texts:
+        count.update(hash(t[k : k + 400]) for k in range(len(t) - 399))
+    want = []
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t) + 400, np.int32)
+        for k in range(len(t) - 399):
+            if count[hash(t[k : k + 400])] > 1:
+                gone[k] += 1
+                gone[k + 400] -= 1
+        gone = np.cumsum(gone)[: len(t)] > 0
+        kept = bytes(np.frombuffer(t.encode(), np.uint8)[~gone])
+        want.append((i, len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    out = suffix.dedup_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == want
+    assert [w[2] for w in want] == [1300, 900, 0, 400]
+
+
+def test_sketch_quantiles_are_within_a_bucket(spark):
+    rng = np.random.default_rng(8)
+    values = np.sort((rng.lognormal(6, 1.5, 5000)).astype(int))
+    frame = spark.createDataFrame([(i, "en", "a", 10000, 0, int(v), 0, 0) for i, v in enumerate(values)], f"doc_id long, lang string, source string, {quality._COUNTS}")
+    merged = quality.shrunk(quality.sketch(frame).filter("rate = 'symbols'"), ["lang", "source"])
+    rows = sorted((r.value, r.up / r["all"]) for r in merged.collect())
+    for q in (0.01, 0.25, 0.5, 0.75, 0.95, 0.999):
+        exact = int(values[int(np.ceil(q * len(values))) - 1])
+        got = next(v for v, up in rows if up >= q - 1e-12)
+        assert got <= exact <= got * (1 + 1 / 32) + 1, (q, got, exact)
+
+
+def test_repeated_rows_and_long_texts_in_cotraining(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    rows = [(i, " ".join(("BAD## $$" if i % 4 == 0 else word()) for _ in range(60)), "en", "s") for i in range(400)]
+    rows += [rows[1]] * 30 + [rows[4]] * 30 + [(900, " ".join(word() for _ in range(40000)), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 400, 2)] + [(i, 1, 0) for i in range(1, 200, 2)], "doc_id long, quality int, toxic int")
+    out = cotrain.classify(docs, labels).select("doc_id", "kept").collect()
+    assert len(out) == len(rows) and len({tuple(r) for r in out}) == 401  # copies of a row are judged alike
+    assert sum(r.kept != (r.doc_id % 4 != 0) for r in out if r.doc_id < 900) <= 8
+    assert [r.kept for r in out if r.doc_id == 900] == [True]
+
+
+def test_long_messages_in_chat(spark):
+    rows = [(1, i, f"r{i % 2}", "ab " * 50000 if i == 1 else f"t{i}") for i in range(200)]
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 2 * 4 and sum(r.n_messages for r in out) == 400
+    assert {sum(n for n, _ in r.mask) == len(r.text) for r in out} == {True}
