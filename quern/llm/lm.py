@@ -29,15 +29,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quern.llm.common import column_bytes, ids_of, mix, plan_bytes
 from quern.llm.exchange import MESSAGE, STAYS, Route, address, answers, decide, messages, notes, pack_parts, totals, unpack_parts
+from quern.llm.rolling import words_of
 
 PRIOR = 300.0
-SEEN = 4
+SEEN = 16  # under the prior, fewer would count for less than a twentieth
 FOLDS, HELD = 7, 2
 CHUNK = 8 << 20
 
@@ -60,16 +60,12 @@ class Chunk:
 
     @classmethod
     def read(cls, ids: np.ndarray, null: np.ndarray, texts: list[bytes], folds: int, held: int) -> Chunk:
-        known: dict[bytes, int] = {}
-        flat: list[int] = []
-        n = []
-        for text in texts:
-            words = text.lower().split()
-            flat += [known.setdefault(w, len(known) + 2) for w in words]
-            flat.append(_END)
-            n.append(len(words) + 1)
-        hashes = np.array([*_MARKS, *map(xxhash.xxh3_64_intdigest, known)], np.uint64)
-        return cls(ids, null, np.array(n, np.int64), np.array(flat, np.uint32), hashes, folds, held)
+        words, n = words_of(texts, lower=True)
+        known, number, count = np.unique(words, return_inverse=True, return_counts=True)
+        often = np.argsort(-count, kind="stable")  # frequent words get small numbers, which take less room
+        ends = np.cumsum(n)
+        tokens = np.insert(unsorted(np.arange(len(known)), often)[number] + 2, ends, _END) if len(texts) else number
+        return cls(ids, null, n + 1, tokens.astype(np.uint32), np.concatenate([np.array(_MARKS, np.uint64), known[often]]), folds, held)
 
     def bigrams(self) -> Grams:
         before = np.empty_like(self.tokens)
@@ -88,9 +84,9 @@ class Chunk:
 
     def _grams(self, order: int, at: np.ndarray, history: np.ndarray, keys: np.ndarray, below: np.ndarray) -> Grams:
         """The n-grams that end at these places, with their histories and the n-grams of the order below at all places."""
-        ids, first, own = np.unique(history * self.size + self.tokens[at], return_index=True, return_inverse=True)
-        arc = np.full(len(self.tokens), -1)
-        arc[at] = own
+        ids, own = np.unique(history * self.size + self.tokens[at], return_inverse=True)
+        arc, first = np.full(len(self.tokens), -1), np.empty(len(ids), np.int64)
+        arc[at], first[own] = own, np.arange(len(at))
         history, word = ids // self.size, ids % self.size
         counts = np.bincount(own[self.train[at]], minlength=len(ids))
         return Grams(order, history, word, below[at[first]], arc, mix(keys[history] * _STEP + self.hash[word]), counts)
@@ -139,44 +135,62 @@ def unsorted(x: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """States: 0 the root, 1 + w the history of one word w, then the longer ones. An arc is found by state * size + word."""
+    """A chunk's part of the automaton.
+
+    States: 0 the root, 1 + w the history of one word w, then the longer ones; depth, failure and penalty (the failure
+    arc's weight) by state. Arcs: source, word, weight and target. For each text place and each depth of the state there,
+    steps() gives the weights of its arc for the word at that place (not a number: no such arc) and of its failure arc.
+    """
 
     def __init__(self, size: int, c1: np.ndarray, levels: list[tuple[Grams, np.ndarray]], n: int, v: int, prior: float, seen: int):
-        self.size, used = size, size + 1
         words = np.arange(size)
         self.root = np.log10((c1 + 1) / (n + v + 1))
-        arcs, weights, targets = [words], [self.root], [1 + words]
-        failure, penalty = [np.zeros(size + 1, np.int64)], [np.zeros(1), np.log10(prior / (c1 + prior))]
-        p, count, state, longest = 10**self.root, c1, 1 + words, 1 + words  # of the order below
+        source, word, weight, target = [np.zeros(size, np.int64)], [words], [self.root], [1 + words]
+        failure, penalty, depth = [np.zeros(size + 1, np.int64)], [np.zeros(1), np.log10(prior / (c1 + prior))], [np.zeros(1, np.int64), np.ones(size, np.int64)]
+        p, count, state, longest, used = 10**self.root, c1, 1 + words, 1 + words, size + 1  # of the order below
+        self.levels = []
         for grams, total in levels:
             p = (total + prior * p[grams.suffix]) / (count[grams.history] + prior)
-            from_, back = state[grams.history], longest[grams.suffix]
+            start, back = state[grams.history], longest[grams.suffix]
             new = (total >= seen) & (grams.word != _END) & (grams.order <= len(levels))  # a history of the next order
             state = np.where(new, used + np.cumsum(new) - 1, -1)
             used += int(new.sum())
             failure.append(back[new])
             penalty.append(np.log10(prior / (total[new] + prior)))
+            depth.append(np.full(len(failure[-1]), grams.order))
             longest, count, known = np.where(new, state, back), total, total > 0
-            arcs.append(from_[known] * size + grams.word[known])
-            weights.append(np.log10(p[known]))
-            targets.append(longest[known])
-        self.arcs = dict(zip(np.concatenate(arcs).tolist(), range(sum(map(len, arcs)))))
-        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.failure, self.penalty = np.concatenate(failure).tolist(), np.concatenate(penalty).tolist()
-
-    def traverse(self, tokens: list[int]) -> float:
-        """The log10 probability of a text, read from left to right."""
-        arcs, weights, targets, failure, penalty, size = self.arcs, self.weights, self.targets, self.failure, self.penalty, self.size
-        state, total = 1 + _START, 0.0
-        for word in tokens:
-            arc = arcs.get(state * size + word)
-            while arc is None:
-                total += penalty[state]
-                state = failure[state]
-                arc = arcs.get(state * size + word)
-            total += weights[arc]
-            state = targets[arc]
-        return total
+            own = np.log10(p)
+            for kept, x in zip((source, word, weight, target), (start, grams.word, own, longest)):
+                kept.append(x[known])
+            self.levels.append((grams.arc, np.where(known, own, np.nan), start, longest))
+        self.source, self.word, self.weight, self.target = map(np.concatenate, (source, word, weight, target))
+        self.failure, self.penalty, self.depth = map(np.concatenate, (failure, penalty, depth))
+
+    def steps(self, tokens: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """By depth and place: arc weights and failure weights; by place: the depth of the longest state that ends there."""
+        weights, failures = [self.root[tokens]], [np.zeros(len(tokens))]
+        after = np.ones(len(tokens), np.int64)
+        for arc, weight, start, longest in self.levels:
+            here = arc >= 0
+            for found, x in ((weights, weight), (failures, self.penalty[start])):
+                found.append(np.where(here, x[arc] if len(x) else np.nan, np.nan))
+            if len(longest):
+                after[here] = np.maximum(after[here], self.depth[longest[arc[here]]])
+        return weights, failures, after
+
+
+def traverse(weights: list[list[float]], failures: list[list[float]], after: list[int]) -> float:
+    """The log10 probability of a text, read from left to right; the state is that of the last `depth` words."""
+    depth, total = 1, 0.0
+    for i, reached in enumerate(after):
+        weight = weights[depth][i]
+        while weight != weight:  # no arc for this word: over the failure arc to the next shorter history
+            total += failures[depth][i]
+            depth -= 1
+            weight = weights[depth][i]
+        total += weight
+        depth = reached
+    return total
 
 
 def score_documents(docs: DataFrame, prior: float = PRIOR, folds: int = FOLDS, held: int = HELD, order: int = 2, seen: int = SEEN) -> DataFrame:
@@ -227,8 +241,10 @@ def score_documents(docs: DataFrame, prior: float = PRIOR, folds: int = FOLDS, h
         chunk, (v, train), sums = _state(own, got, folds, held)
         c1, levels = chunk.levels(sums, seen)
         automaton = Automaton(chunk.size, c1, levels, int(train), int(v), prior, seen)
-        tokens = chunk.tokens.tolist()
-        scores = [automaton.traverse(tokens[a : a + n]) for a, n in zip(chunk.first.tolist(), chunk.n.tolist())]
+        weights, failures, after = automaton.steps(chunk.tokens)
+        scores = []
+        for a, n in zip(chunk.first.tolist(), chunk.n.tolist()):
+            scores.append(traverse([x[a : a + n].tolist() for x in weights], [x[a : a + n].tolist() for x in failures], after[a : a + n].tolist()))
         add = lambda x: np.add.reduceat(x, chunk.first)
         found = [pa.array(chunk.ids, mask=chunk.null), pa.array(chunk.held), chunk.n, add((c1[chunk.tokens] > 0).astype(np.int64)), np.full(len(chunk.n), train), add(automaton.root[chunk.tokens]), scores]
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, _KINDS)], names=_NAMES)

@@ -1,4 +1,4 @@
-"""Hashes of byte ranges by prefix sums (operators 5 and 9)."""
+"""Hashes of byte ranges by prefix sums, and the words of texts by such hashes (operators 5, 7 and 9)."""
 
 from __future__ import annotations
 
@@ -40,3 +40,27 @@ class Hashes:
     def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         s, e = starts - self.start, stops - self.start
         return mix((self.sums[e] - self.sums[s]) * self.down[s])
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_PIECE = 1 << 20  # bytes hashed at once
+
+
+def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, text by text, and how many words each text has. Words are cut at ASCII white space."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if lower:
+        data = _LOWER[data]
+    space = _SPACE[data]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    begin, end = edge[::2], edge[1::2]
+    counts = np.diff(np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+    hashes = np.zeros(len(begin), np.uint64)
+    first = 0
+    while first < len(begin):
+        low = begin[first]
+        last = max(first + 1, int(np.searchsorted(end, low + _PIECE, side="right")))
+        hashes[first:last] = Hashes(data, int(low), int(end[last - 1])).of(begin[first:last], end[first:last])
+        first = last
+    return hashes, counts.astype(np.int64)

@@ -30,36 +30,21 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import window_hash
 from quern.llm.exchange import Batch, Shards, answers, messages, minima, pack, runs, totals, unpack
-from quern.llm.rolling import Hashes
+from quern.llm.rolling import words_of
 
 WINDOW = 13
 SEED = 5
 PATTERNS = 1 << 16
-_PIECE = 1 << 20  # bytes hashed at once
-_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 class _Words:
     """The words of a shard as hashes, one document after another."""
 
     def __init__(self, batch: Batch):
-        data = np.frombuffer(b"\n".join([*batch.texts, b""]), np.uint8)
-        space = _SPACE[data]
-        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-        self.begin, self.end = edge[::2], edge[1::2]
-        stop = np.cumsum([len(t) + 1 for t in batch.texts])
-        self.starts = np.concatenate([[0], np.searchsorted(self.begin, stop)]).astype(np.int64)
-        self.counts = np.diff(self.starts)
+        self.hashes, self.counts = words_of(batch.texts)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         self.doc = np.repeat(np.arange(len(batch.texts)), self.counts)
-        self.left = self.starts[1:][self.doc] - np.arange(len(self.begin))  # words from here to the end
-        self.hashes = np.zeros(len(self.begin), np.uint64)
-        first = 0
-        while first < len(self.begin):
-            low = self.begin[first]
-            last = max(first + 1, int(np.searchsorted(self.end, low + _PIECE, side="right")))
-            part = Hashes(data, int(low), int(self.end[last - 1]))
-            self.hashes[first:last] = part.of(self.begin[first:last], self.end[first:last])
-            first = last
+        self.left = self.starts[1:][self.doc] - np.arange(len(self.hashes))  # words from here to the end
 
     def picks(self, at: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """The place of each window's phrase, and the keys of phrases by place."""

@@ -9,6 +9,7 @@ import pytest
 
 from quern.llm import exchange, lm
 
+SEEN = 4
 SCHEMA = "doc_id long, text string, size int, score double"
 
 
@@ -52,9 +53,9 @@ def test_scores_equal_brute_force(spark, monkeypatch, order, fan):
     monkeypatch.setattr(exchange, "BUCKET_BYTES", 2000)
     data = rows()
     held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in data]
-    brute = Brute([tokens(r) for r in data], [not h for h in held], order, lm.SEEN)
+    brute = Brute([tokens(r) for r in data], [not h for h in held], order, SEEN)
     want = [(r[0], h, len(tokens(r)), brute.n, round(brute.score(tokens(r)), 6)) for r, h in zip(data, held)]
-    out = lm.score_documents(spark.createDataFrame(data, SCHEMA).repartition(3), order=order)
+    out = lm.score_documents(spark.createDataFrame(data, SCHEMA).repartition(3), order=order, seen=SEEN)
     got = [(r.doc_id, r.held_out, r.n_tokens, r.train_tokens, round(r.score, 6)) for r in out.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
@@ -71,22 +72,24 @@ def test_each_history_sums_to_one(order):
     levels = [(chunk.bigrams(), None)]
     levels[0] = (levels[0][0], levels[0][0].counts)
     for _ in range(2, order):
-        grams = chunk.longer(*levels[-1], lm.SEEN)
+        grams = chunk.longer(*levels[-1], SEEN)
         levels.append((grams, grams.counts))
     c1 = chunk.words()
     n, v = int(c1[1:].sum()), int((c1[1:] > 0).sum())
-    automaton = lm.Automaton(chunk.size, c1, levels, n, v, lm.PRIOR, lm.SEEN)
+    automaton = lm.Automaton(chunk.size, c1, levels, n, v, lm.PRIOR, SEEN)
     unseen = int((c1[1:] == 0).sum())
     assert len(automaton.failure) == len(automaton.penalty) > (1 + chunk.size if order > 2 else chunk.size)
 
+    arcs = dict(zip(zip(automaton.source.tolist(), automaton.word.tolist()), automaton.weight.tolist()))
+
     def total(state):
         out = 0.0
         for w in range(1, chunk.size):
             s, log = state, 0.0
-            while (arc := automaton.arcs.get(s * chunk.size + w)) is None:
+            while (s, w) not in arcs:
                 log += automaton.penalty[s]
                 s = automaton.failure[s]
-            out += 10 ** (log + automaton.weights[arc])
+            out += 10 ** (log + arcs[s, w])
         # words without training counts share the mass of one more word
         return out, out - (unseen - 1) * lowest(state)
 
@@ -109,3 +112,26 @@ def test_longer_histories_help_on_held_out_text(spark):
     mean = [lm.score_documents(frame, prior=5.0, order=k).filter("held_out").agg({"score": "avg"}).first()[0] for k in (2, 3)]
     base = lm.score_documents(frame).filter("held_out").agg({"base_score": "avg"}).first()[0]
     assert base < mean[0] < mean[1]
+
+
+def test_targets_are_the_longest_states(spark):
+    """Walking state by state over the arcs gives what traverse() finds by depth."""
+    chunk = chunk_of(rows())
+    levels = [(chunk.bigrams(), None)]
+    levels[0] = (levels[0][0], levels[0][0].counts)
+    grams = chunk.longer(*levels[-1], SEEN)
+    levels.append((grams, grams.counts))
+    automaton = lm.Automaton(chunk.size, chunk.words(), levels, 1000, 10, lm.PRIOR, SEEN)
+    arcs = {(a, b): (c, d) for a, b, c, d in zip(automaton.source.tolist(), automaton.word.tolist(), automaton.weight.tolist(), automaton.target.tolist())}
+    weights, failures, after = automaton.steps(chunk.tokens)
+    for a, n in zip(chunk.first.tolist(), chunk.n.tolist()):
+        state, total = 1 + lm._START, 0.0
+        for k, word in enumerate(chunk.tokens[a : a + n].tolist()):
+            while (state, word) not in arcs:
+                total += automaton.penalty[state]
+                state = automaton.failure[state]
+            weight, state = arcs[state, word]
+            total += weight
+            assert automaton.depth[state] == after[a + k]
+        cut = lambda x: x[a : a + n].tolist()
+        assert math.isclose(total, lm.traverse([cut(x) for x in weights], [cut(x) for x in failures], cut(after)), rel_tol=1e-12)
