@@ -25,10 +25,11 @@ NAMES = [
 
 
 def inserts(spark: SparkSession, n: int) -> None:
+    """One prepared INSERT with n lists of parameters, in a transaction."""
     session = Engine(spark, new_folder(spark).removeprefix("file://").removeprefix("file:")).create_session()
-    session.engine.attached = registry.ParquetTables(spark, SF)
-    session.execute("CREATE TABLE products (id INTEGER PRIMARY KEY, name TEXT, price REAL, category TEXT)")
-    session.execute(f"INSERT INTO products SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey < {n}")
+    session.execute("CREATE TABLE products (id INTEGER PRIMARY KEY, name TEXT, price REAL, category TEXT); BEGIN")
+    session.prepare("INSERT INTO products VALUES ($1, $2, $3, $4)").run_many([[i, f"product {i}", i * 7 % 100 + 0.25, f"category {i % 5}"] for i in range(n)])
+    session.execute("COMMIT")
 
 
 def main() -> None:

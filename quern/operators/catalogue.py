@@ -1,12 +1,16 @@
 """One query for each operator and function of the dialect, over the star-schema tables, with its oracle.
 
-QUERIES: name -> (text of the dialect, oracle). The oracle is None where the text itself is the same query
-for a standard SQL engine. Sums are cast and rounded alike on both sides.
+QUERIES: name -> (text of the dialect, oracle), and a list of parameters where the text has some. The oracle is
+None where the text itself is the same query for a standard SQL engine. Sums are cast and rounded alike on both sides.
+CHANGES: name -> (statements, query, oracle). Statements are one text, or several, of which those that begin with
+FAILS must fail and change nothing.
 """
 
 from __future__ import annotations
 
-QUERIES: dict[str, tuple[str, str | None]] = {
+FAILS = "-- fails\n"
+
+QUERIES: dict[str, tuple] = {
     # scans, projection, filters
     "scan_project": ("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders", None),
     "scan_star": ("SELECT * FROM nation", None),
@@ -51,7 +55,20 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "fn_md5": ("SELECT c_custkey, md5(c_name) AS h FROM customer", None),
     "json_path": ("SELECT event_id, CAST(props.k AS INTEGER) AS k, props.missing AS missing FROM events WHERE props.k > 50", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50"),
     "json_group": ("SELECT props.k AS k, count(*) AS n FROM events GROUP BY props.k", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1"),
+    "fn_round_scale": (
+        "SELECT c_custkey, round(c_acctbal / 7, 2) AS r, round(0.5 - c_custkey) AS half, round(0 - c_custkey - 0.25, 1) AS tie FROM customer",
+        "SELECT c_custkey, round(c_acctbal / 7, 2) AS r, CAST(1 - c_custkey AS DOUBLE) AS half, 0 - c_custkey - CAST(0.2 AS DOUBLE) AS tie FROM customer",
+    ),
+    "fn_trim_all_space": ("SELECT n_nationkey, trim('\t\n ' || n_name || ' \r\n') AS t, length(ltrim(' \t' || n_name)) AS n FROM nation", "SELECT n_nationkey, n_name AS t, length(n_name) AS n FROM nation"),
+    "like_backslash": ("SELECT n_nationkey, 'a\\' || n_name LIKE 'a\\A%' AS yes FROM nation", "SELECT n_nationkey, n_name LIKE 'A%' AS yes FROM nation"),
+    "cast_json": ("SELECT n_nationkey, CAST('{\"a\":  \"' || n_name || '\", \"b\": [1, 2]}' AS JSON) AS j, typeof(CAST('[1]' AS JSON)) AS t FROM nation", "SELECT n_nationkey, '{\"a\":\"' || n_name || '\",\"b\":[1,2]}' AS j, 'json' AS t FROM nation"),
+    "json_typeof": ("SELECT event_id, typeof(props.k) AS k, typeof(props.missing) AS m FROM events", "SELECT event_id, CASE json_type(props, '$.k') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS k, 'null' AS m FROM events"),
+    "quoted_names_and_comments": ('SELECT n."n_name" AS "the name", /* a note */ "n_regionkey" AS "Key" -- to the end\nFROM nation AS n', 'SELECT n_name AS "the name", n_regionkey AS "Key" FROM nation'),
+    "default_names": ("SELECT count(*), max(n_name), n_regionkey FROM nation GROUP BY n_regionkey", "SELECT count(*) AS count_star, max(n_name) AS max_1, n_regionkey FROM nation GROUP BY n_regionkey"),
+    "parameters": ("SELECT o_orderkey, $3 || o_orderstatus AS s FROM orders WHERE o_totalprice BETWEEN $1 AND $2 AND o_orderkey <> $4", "SELECT o_orderkey, 'x' || o_orderstatus AS s FROM orders WHERE o_totalprice BETWEEN 50000 AND 120000.5 AND o_orderkey <> 7", [50000, 120000.5, "x", 7]),
     # joins
+    "join_right": ("SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey", None),
+    "join_full": ("SELECT s.s_suppkey, n.n_name FROM supplier s FULL JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 0", None),
     "join_inner": ("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey", None),
     "join_left": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F'", None),
     "join_cross": ("SELECT a.r_name AS a, b.n_name AS b FROM region a CROSS JOIN nation b", None),
@@ -73,6 +90,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "scalar_subquery_empty": ("SELECT r_name, (SELECT n_name FROM nation WHERE n_nationkey = 999) AS n FROM region", None),
     "correlated_scalar": ("SELECT c.c_custkey, (SELECT max(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c", None),
     "correlated_in_where": ("SELECT o.o_orderkey FROM orders o WHERE o.o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
+    "not_in_subquery_empty": ("SELECT c_custkey FROM customer WHERE nullif(c_custkey, 5) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)", None),
+    "not_in_subquery_null_value": ("SELECT c_custkey FROM customer WHERE nullif(c_custkey, c_custkey) NOT IN (SELECT o_custkey FROM orders) OR c_custkey < 4", None),
+    "not_in_as_value": ("SELECT n_nationkey, n_nationkey NOT IN (SELECT s_nationkey FROM supplier) AS lone FROM nation", None),
+    "exists_bound": ("SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_acctbal >= p.p_retailprice * 9)", None),
     "derived_table": ("SELECT d.seg, d.n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) AS d WHERE d.n > 10", None),
     "quantified_any": ("SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM supplier s WHERE p.p_retailprice < s.s_acctbal)", "SELECT p_partkey FROM part WHERE p_retailprice < (SELECT max(s_acctbal) FROM supplier)"),
     # aggregation
@@ -89,11 +110,12 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     # duplicates, order, limits, sets
     "distinct_rows": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
     "distinct_null": ("SELECT DISTINCT nullif(o_orderstatus, 'F') AS s FROM orders", None),
-    "order_nulls_default_asc": ("SELECT o_orderkey, nullif(o_custkey, o_custkey) AS z FROM orders ORDER BY nullif(o_orderstatus, 'F'), o_orderkey LIMIT 20", "SELECT o_orderkey, nullif(o_custkey, o_custkey) AS z FROM orders ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey LIMIT 20"),
-    "order_nulls_default_desc": ("SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey DESC LIMIT 20", "SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey DESC LIMIT 20"),
-    "order_explicit_nulls": ("SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'O') ASC NULLS FIRST, o_orderkey LIMIT 20", None),
-    "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 15", None),
-    "order_by_alias": ("SELECT o_orderkey AS k, o_totalprice * 2 AS twice FROM orders ORDER BY twice DESC NULLS FIRST, k LIMIT 15", None),
+    "order_nulls_default_asc": ("SELECT o_orderkey, nullif(o_custkey, o_custkey) AS z FROM orders ORDER BY nullif(o_orderstatus, 'F'), o_orderkey", "SELECT o_orderkey, nullif(o_custkey, o_custkey) AS z FROM orders ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey"),
+    "order_nulls_default_desc": ("SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey DESC", "SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey DESC"),
+    "order_explicit_nulls": ("SELECT o_orderkey FROM orders ORDER BY nullif(o_orderstatus, 'O') ASC NULLS FIRST, o_orderkey", None),
+    "order_hidden_column": ("SELECT c_name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey", None),
+    "order_by_alias": ("SELECT o_orderkey AS k, o_totalprice * 2 AS twice FROM orders ORDER BY twice DESC NULLS FIRST, k", None),
+    "order_by_ordinal": ("SELECT n_regionkey, n_name FROM nation ORDER BY 1 DESC, 2", "SELECT n_regionkey, n_name FROM nation ORDER BY 1 DESC NULLS FIRST, 2"),
     "topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10", None),
     "limit_offset": ("SELECT c_custkey FROM customer ORDER BY c_custkey NULLS LAST LIMIT 10 OFFSET 5", None),
     "union_all": ("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region", None),
@@ -125,21 +147,44 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     ),
 }
 
-_KV = "CREATE TABLE kv (k INTEGER PRIMARY KEY, v TEXT, n INTEGER DEFAULT 0); INSERT INTO kv (k, v) SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10;"
+_KV = "CREATE TABLE kv (k INTEGER PRIMARY KEY, v TEXT, n INTEGER DEFAULT 0); INSERT INTO kv (k, v) SELECT c_custkey, c_name FROM customer;"
 
 #: Statements that change a database of their own, then the query that shows its state, and its oracle.
-CHANGES: dict[str, tuple[str, str, str]] = {
-    "insert_select": (_KV, "SELECT k, v, n FROM kv", "SELECT n_nationkey AS k, n_name AS v, 0 AS n FROM nation WHERE n_nationkey < 10"),
+CHANGES: dict[str, tuple] = {
+    "insert_select": (
+        "CREATE TABLE o (k INTEGER PRIMARY KEY, price REAL, status TEXT, n INTEGER DEFAULT 3); INSERT INTO o (k, status, price) SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders;",
+        "SELECT k, price, status, n FROM o",
+        "SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status, 3 AS n FROM orders",
+    ),
     "insert_values": ("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, ok BOOLEAN DEFAULT TRUE); INSERT INTO t (id, name) VALUES (1, 'a'), (2, NULL); INSERT INTO t VALUES (3, 'c', FALSE);", "SELECT id, name, ok FROM t", "SELECT * FROM (VALUES (1, 'a', TRUE), (2, NULL, TRUE), (3, 'c', FALSE)) v(id, name, ok)"),
-    "update_where": (_KV + "UPDATE kv SET n = k * 2, v = lower(v) WHERE k % 2 = 1;", "SELECT k, v, n FROM kv", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 1 THEN lower(n_name) ELSE n_name END AS v, CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey * 2 ELSE 0 END AS n FROM nation WHERE n_nationkey < 10"),
-    "delete_where": (_KV + "DELETE FROM kv WHERE k > 4 OR v IS NULL;", "SELECT k, v FROM kv", "SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 5"),
-    "upsert_do_nothing": (_KV + "INSERT INTO kv SELECT n_nationkey, 'new', 1 FROM nation WHERE n_nationkey < 15 ON CONFLICT DO NOTHING;", "SELECT k, v, n FROM kv", "SELECT n_nationkey AS k, CASE WHEN n_nationkey < 10 THEN n_name ELSE 'new' END AS v, CASE WHEN n_nationkey < 10 THEN 0 ELSE 1 END AS n FROM nation WHERE n_nationkey < 15"),
+    "insert_with_cte": (_KV + "INSERT INTO kv WITH sums AS (SELECT l_partkey AS p, count(*) AS c FROM lineitem GROUP BY l_partkey) SELECT 0 - p - 1, 'part', c FROM sums;", "SELECT k, v, n FROM kv", "SELECT c_custkey AS k, c_name AS v, 0 AS n FROM customer UNION ALL SELECT 0 - l_partkey - 1, 'part', count(*) FROM lineitem GROUP BY l_partkey"),
+    "update_where": (_KV + "UPDATE kv SET n = k * 2, v = lower(v) WHERE k % 2 = 1;", "SELECT k, v, n FROM kv", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 1 THEN lower(c_name) ELSE c_name END AS v, CASE WHEN c_custkey % 2 = 1 THEN c_custkey * 2 ELSE 0 END AS n FROM customer"),
+    "update_twice": (_KV + "UPDATE kv SET n = 1 WHERE k % 7 = 0; UPDATE kv SET n = n + 1, k = 0 - k WHERE k % 14 = 0 AND k <> 0; DELETE FROM kv WHERE n = 1;", "SELECT k, v, n FROM kv", "SELECT CASE WHEN c_custkey % 14 = 0 THEN 0 - c_custkey ELSE c_custkey END AS k, c_name AS v, CASE WHEN c_custkey % 14 = 0 THEN 2 ELSE 0 END AS n FROM customer WHERE c_custkey <> 0 AND (c_custkey % 7 <> 0 OR c_custkey % 14 = 0)"),
+    "delete_where": (_KV + "DELETE FROM kv WHERE k % 5 > 2 OR v IS NULL;", "SELECT k, v FROM kv", "SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 5 <= 2"),
+    "upsert_do_nothing": (_KV + "INSERT INTO kv SELECT p_partkey, 'new', 1 FROM part ON CONFLICT DO NOTHING;", "SELECT k, v, n FROM kv", "SELECT c_custkey AS k, c_name AS v, 0 AS n FROM customer UNION ALL SELECT p_partkey, 'new', 1 FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)"),
     "upsert_do_update": (
-        _KV + "INSERT INTO kv SELECT n_nationkey, 'new', 5 FROM nation WHERE n_nationkey > 7 AND n_nationkey < 15 ON CONFLICT (k) DO UPDATE SET v = kv.v || excluded.v, n = kv.n + excluded.n WHERE kv.k <> 8;",
+        _KV + "INSERT INTO kv SELECT p_partkey, 'new', 5 FROM part ON CONFLICT (k) DO UPDATE SET v = kv.v || excluded.v, n = kv.n + excluded.n WHERE kv.k % 3 <> 0;",
         "SELECT k, v, n FROM kv",
-        "SELECT n_nationkey AS k, CASE WHEN n_nationkey < 9 THEN n_name WHEN n_nationkey = 9 THEN n_name || 'new' ELSE 'new' END AS v, CASE WHEN n_nationkey < 9 THEN 0 ELSE 5 END AS n FROM nation WHERE n_nationkey < 15",
+        "SELECT coalesce(c_custkey, p_partkey) AS k, CASE WHEN c_custkey IS NULL THEN 'new' WHEN p_partkey IS NULL OR c_custkey % 3 = 0 THEN c_name ELSE c_name || 'new' END AS v, CASE WHEN c_custkey IS NOT NULL AND (p_partkey IS NULL OR c_custkey % 3 = 0) THEN 0 ELSE 5 END AS n FROM customer FULL JOIN part ON c_custkey = p_partkey",
+    ),
+    "upsert_null_keys": (
+        "CREATE TABLE u (id INTEGER PRIMARY KEY, code TEXT UNIQUE); INSERT INTO u SELECT c_custkey, nullif(c_name, c_name) FROM customer; INSERT INTO u SELECT 0 - c_custkey - 1, nullif(c_name, c_name) FROM customer ON CONFLICT (code) DO NOTHING; INSERT INTO u VALUES (1000000000, NULL) ON CONFLICT (code) DO UPDATE SET code = 'hit';",
+        "SELECT id, code FROM u",
+        "SELECT c_custkey AS id, CAST(NULL AS VARCHAR) AS code FROM customer UNION ALL SELECT 0 - c_custkey - 1, NULL FROM customer UNION ALL SELECT 1000000000, NULL",
+    ),
+    "constraints_are_atomic": (
+        (_KV, FAILS + "INSERT INTO kv SELECT p_partkey, 'x', 1 FROM part", FAILS + "UPDATE kv SET k = 1", "CREATE TABLE r (k INTEGER PRIMARY KEY, v TEXT NOT NULL)", FAILS + "INSERT INTO r SELECT n_nationkey, CASE WHEN n_nationkey <> 3 THEN n_name END FROM nation"),
+        "SELECT k, v, n FROM kv UNION ALL SELECT k, v, 9 FROM r",
+        "SELECT c_custkey AS k, c_name AS v, 0 AS n FROM customer",
+    ),
+    "index_unique_and_drop": (
+        ("CREATE TABLE s (k INTEGER PRIMARY KEY, name TEXT)", "INSERT INTO s SELECT s_suppkey, s_name FROM supplier", "CREATE UNIQUE INDEX low ON s (lower(name))", FAILS + "INSERT INTO s SELECT 0 - s_suppkey - 1, upper(s_name) FROM supplier", "DROP INDEX low", "INSERT INTO s SELECT 0 - s_suppkey - 1, upper(s_name) FROM supplier"),
+        "SELECT k, name FROM s",
+        "SELECT s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT 0 - s_suppkey - 1, upper(s_name) FROM supplier",
     ),
-    "autoincrement": ("CREATE TABLE a (id INTEGER PRIMARY KEY AUTOINCREMENT, name TEXT); INSERT INTO a (name) VALUES ('x'), ('y'); INSERT INTO a VALUES (10, 'z'), (NULL, 'w'); INSERT INTO a (name) VALUES ('v');", "SELECT id, name FROM a", "SELECT * FROM (VALUES (1, 'x'), (2, 'y'), (10, 'z'), (11, 'w'), (12, 'v')) v(id, name)"),
-    "alter_add_default": (_KV + "ALTER TABLE kv ADD COLUMN extra TEXT DEFAULT 'd'; ALTER TABLE kv DROP COLUMN n; INSERT INTO kv VALUES (100, 'x', 'e');", "SELECT k, v, extra FROM kv", "SELECT n_nationkey AS k, n_name AS v, 'd' AS extra FROM nation WHERE n_nationkey < 10 UNION ALL SELECT 100, 'x', 'e'"),
-    "transaction_commit_rollback": (_KV + "BEGIN; DELETE FROM kv WHERE k < 5; COMMIT; BEGIN; DELETE FROM kv; ROLLBACK;", "SELECT k, v FROM kv", "SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey BETWEEN 5 AND 9"),
+    "drop_table": (("CREATE TABLE a (k INTEGER PRIMARY KEY)", "INSERT INTO a SELECT n_nationkey FROM nation", "DROP TABLE a", FAILS + "INSERT INTO a VALUES (1)", "DROP TABLE IF EXISTS a", "CREATE TABLE a (name TEXT)", "INSERT INTO a SELECT r_name FROM region"), "SELECT name FROM a", "SELECT r_name AS name FROM region"),
+    "autoincrement": ("CREATE TABLE a (id INTEGER PRIMARY KEY AUTOINCREMENT, name TEXT); INSERT INTO a (name) VALUES ('x'), ('y'); INSERT INTO a VALUES (70, 'z'), (NULL, 'w'); INSERT INTO a (name) VALUES ('v');", "SELECT id, name FROM a", "SELECT * FROM (VALUES (1, 'x'), (2, 'y'), (70, 'z'), (71, 'w'), (72, 'v')) v(id, name)"),
+    "alter_add_default": (_KV + "ALTER TABLE kv ADD COLUMN extra TEXT DEFAULT 'd'; ALTER TABLE kv DROP COLUMN n; INSERT INTO kv VALUES (-100, 'x', 'e');", "SELECT k, v, extra FROM kv", "SELECT c_custkey AS k, c_name AS v, 'd' AS extra FROM customer UNION ALL SELECT -100, 'x', 'e'"),
+    "transaction_commit_rollback": (_KV + "BEGIN; DELETE FROM kv WHERE k % 2 = 0; COMMIT; BEGIN; DELETE FROM kv; ROLLBACK;", "SELECT k, v FROM kv", "SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 2 <> 0"),
+    "transaction_reads_own_writes": (_KV + "BEGIN; CREATE TABLE odd (k INTEGER PRIMARY KEY, n INTEGER); UPDATE kv SET n = 4 WHERE k % 2 = 1; INSERT INTO odd SELECT k, n FROM kv WHERE n = 4; COMMIT;", "SELECT k, n FROM odd", "SELECT c_custkey AS k, 4 AS n FROM customer WHERE c_custkey % 2 = 1"),
 }

@@ -25,8 +25,13 @@ class Result:
 
     @property
     def rows(self) -> list[dict]:
+        """All rows on the driver, by column name; of columns with one name the last counts. For few rows."""
         return [r.asDict() for r in self.df.collect()] if self.df is not None else []
 
+    def __iter__(self):
+        """Rows as tuples of all columns, one partition at a time on the driver."""
+        return map(tuple, self.df.toLocalIterator()) if self.df is not None else iter(())
+
 
 class Engine:
     """A database in a folder that all machines share."""
@@ -64,6 +69,16 @@ class Prepared:
             raise TransactionError("the schema has changed since the statement was prepared")
         return self.session.run(self.statement, params)
 
+    def run_many(self, params: list[list]) -> Result:
+        """An INSERT ... VALUES for each list of parameters, in their order, as one statement."""
+        if isinstance(self.statement, Query) or self.statement.kind != "insert" or self.statement.parts["rows"] is None:
+            raise BindError("only INSERT ... VALUES takes many lists of parameters")
+        if len({len(p) for p in params}) > 1:
+            raise BindError("all lists need the same number of parameters")
+        rows = [_renumbered(row, i * len(p)) for i, p in enumerate(params) for row in self.statement.parts["rows"]]
+        statement = Statement(self.statement.kind, self.statement.name, self.statement.parts | {"rows": rows})
+        return Prepared(self.session, statement, self.schema_version).run([v for p in params for v in p]) if rows else Result("ok")
+
 
 class Session:
     def __init__(self, engine: Engine):
@@ -157,10 +172,18 @@ class Session:
         return self.spark.sql(found.sql).toDF(*(c for c, _ in found.columns))
 
     def explain(self, statement, params) -> DataFrame:
-        if not isinstance(statement, Query):
+        """The plan of a query, or of the query whose rows a statement writes or changes."""
+        if isinstance(statement, Query):
+            df = self.select(statement, params)
+        elif statement.kind == "insert" and statement.parts["rows"] is None:
+            df = self.select(statement.parts["query"], params)
+        elif statement.kind in ("update", "delete"):
+            manifest = self.manifest()
+            df = self.hits(manifest, find(manifest, "tables", statement.name), statement, params)
+        else:
             return self.spark.range(1).select(F.lit(f"{statement.kind.upper()} {statement.name}").alias("plan"))
-        plan = self.select(statement, params)._jdf.queryExecution().toString()
-        return self.spark.range(1).select(F.lit(plan).alias("plan"))
+        head = "" if isinstance(statement, Query) else f"{statement.kind.upper()} {statement.name}\n"
+        return self.spark.range(1).select(F.lit(head + df._jdf.queryExecution().toString()).alias("plan"))
 
     # -- definitions
     def create_table(self, manifest: dict, s: Statement, params) -> int:
@@ -354,37 +377,55 @@ class Session:
     def with_row_ids(self, table: dict, given: DataFrame) -> DataFrame:
         return given.select((F.lit(table["next_row"]) + F.col("__ord")).alias(ROW_ID), *(quote(c["name"]) for c in table["columns"]))
 
-    def append(self, manifest: dict, table: dict, new: DataFrame) -> int:
-        """Checks new rows against the rules and the keys of the stored ones, and writes them as a part."""
+    def append(self, manifest: dict, table: dict, new: DataFrame, changed: set[str] | None = None) -> int:
+        """Checks new rows against the rules and the keys of the stored ones, and writes them as a part.
+
+        The part takes in the latest parts of up to twice its rows, and parts of which most rows are gone.
+        """
         n, last = new.agg(F.count("*"), F.max(ROW_ID)).first()
-        if not n:
-            return 0
-        self.check(manifest, table, new, self.current(table) if table["parts"] else None)
-        merged, total = [], n
-        while table["parts"] and table["parts"][-1]["rows"] <= 2 * total:
-            merged.append(table["parts"].pop())
+        if n:
+            self.check(manifest, table, new, self.current(table) if table["parts"] else None, changed)
+        merged = [p for p in table["parts"] if p.get("dead", 0) > p["rows"]]
+        rest, total = [p for p in table["parts"] if p not in merged], n + sum(p["rows"] for p in merged)
+        while n and rest and rest[-1]["rows"] <= 2 * total:
+            merged.append(rest.pop())
             total += merged[-1]["rows"]
+        if not total:
+            return 0
         if merged:
             new = new.unionByName(self.current(table | {"parts": merged}))
+        table["parts"] = rest
         self.add_part(table, new, total)
-        table["next_row"] = max(table["next_row"], last + 1)
+        table["next_row"] = max(table["next_row"], (last or 0) + 1)
         return n
 
-    def add_part(self, table: dict, data: DataFrame, rows: int | None = None) -> None:
+    def add_part(self, table: dict, data: DataFrame, rows: int) -> None:
         path = self.engine.catalog.new_part(table["name"])
         data.write.parquet(path)
         table["parts"].append({"path": path, "columns": [c["name"] for c in table["columns"]], "rows": rows})
 
+    def retire(self, table: dict, rows: DataFrame) -> int:
+        """Marks stored rows as gone: their row ids become a table that scans of the parts that hold them leave out."""
+        path = self.engine.catalog.new_part(table["name"])
+        rows.select(ROW_ID).write.parquet(path)
+        gone, total = self.spark.read.parquet(path), 0
+        each = [self.current(table | {"parts": [p]}).select(ROW_ID, F.lit(i).alias("part")) for i, p in enumerate(table["parts"])]
+        counts = dict(map(tuple, reduce(DataFrame.union, each).join(gone, ROW_ID, "left_semi").groupBy("part").count().collect())) if each else {}
+        for i, n in counts.items():
+            part = table["parts"][i]
+            table["parts"][i] = part | {"rows": part["rows"] - n, "dead": part.get("dead", 0) + n, "gone": [*part.get("gone", []), path]}
+            total += n
+        table["parts"] = [p for p in table["parts"] if p["rows"]]
+        return total
+
     def upsert(self, manifest: dict, table: dict, given: DataFrame, conflict: dict, params) -> int:
         """ON CONFLICT, as if row by row: the n-th row of each key is handled in the n-th round.
 
-        DO NOTHING adds a part. DO UPDATE works on the stored rows whose keys are given, and joins the others at the end.
+        DO NOTHING adds a part. DO UPDATE works on the stored rows whose keys are given, and leaves the others where they are.
         """
         keys = self.conflict_keys(manifest, table["name"].lower(), table, conflict["target"])
         names = [c["name"] for c in table["columns"]]
-        for c in table["columns"]:  # rows that break another rule must fail, conflict or not
-            if c["required"] and self.engine.enforce and not given.filter(F.col(quote(c["name"])).isNull()).isEmpty():
-                raise ConstraintError(f"NOT NULL constraint failed: {table['name']}.{c['name']}")
+        self.check_required(table, given, [c for c in table["columns"] if c["required"]])  # conflict or not
         complete = F.lit(True)
         for k in keys:
             complete = complete & F.col(quote(k)).isNotNull()
@@ -401,7 +442,7 @@ class Session:
             return self.append(manifest, table, first.join(stored, same, "left_anti"))
         rounds, affected = given.agg(F.max("__rank")).first()[0] or 0, 0
         touched = given.filter("__rank = 1").select(*(quote(k) for k in keys)).dropna().alias("excluded")
-        others, state = stored.join(touched, same, "left_anti"), self.rewritten(stored.join(touched, same, "left_semi"))
+        state = old_rows = self.rewritten(stored.join(touched, same, "left_semi"))
         for r in range(1, rounds + 1):
             new = self.with_row_ids(table, given.filter(F.col("__rank") == r))
             old, inc = state.alias("t"), new.alias("excluded")
@@ -420,7 +461,8 @@ class Session:
             affected += joined.filter(hit).count() + fresh.count()
             kept = joined.selectExpr(f"t.{ROW_ID} AS {ROW_ID}", *(f"CASE WHEN {hit} THEN {sets[n]} ELSE t.{quote(n)} END AS {quote(n)}" if n in sets else f"t.{quote(n)} AS {quote(n)}" for n in names))
             state = self.rewritten(kept.unionByName(fresh.select(ROW_ID, *(quote(n) for n in names))))
-        self.write(manifest, table, others.unionByName(state))
+        self.retire(table, old_rows)
+        self.append(manifest, table, state)
         return affected
 
     def rewritten(self, df: DataFrame) -> DataFrame:
@@ -440,57 +482,59 @@ class Session:
                 return list(option)
         raise BindError("ON CONFLICT names no key")
 
-    def update(self, manifest: dict, s: Statement, params) -> int:
-        table = find(manifest, "tables", s.name)
+    def hits(self, manifest: dict, table: dict, s: Statement, params, sets: list | None = None) -> DataFrame:
+        """The rows an UPDATE or DELETE is about, with their new values. Values of other rows are not worked out."""
         lowering, scope = self.lowering(manifest, params), Scope([(s.name, columns_of(table))])
-        sets = {}
-        for c, node in s.parts["set"]:
+        new = {}
+        for c, node in s.parts.get("set") or []:
             column = next((x for x in table["columns"] if x["name"].lower() == c.lower()), None)
             if column is None:
                 raise BindError(f"unknown column {c!r}")
-            sets[column["name"]] = self.coerced(*lowering.expr(node, scope), column["type"])
-        hit = f"coalesce({lowering.condition(s.parts['where'], scope)}, FALSE)" if s.parts["where"] else "TRUE"
-        source = f"FROM {relation(table, with_row_id=True).sql} AS {quote(s.name)}"
-        items = [f"CASE WHEN __hit THEN __new_{i} ELSE {quote(c['name'])} END AS {quote(c['name'])}" if c["name"] in sets else quote(c["name"]) for i, c in enumerate(table["columns"])]
-        new = [f", {sets[c['name']]} AS __new_{i}" for i, c in enumerate(table["columns"]) if c["name"] in sets]
-        affected = self.spark.sql(f"SELECT count(*) {source} WHERE {hit}").first()[0]
-        # new values are worked out only where the row is hit, so an error elsewhere does not count
-        guarded = [x.replace(f", {sets[c]} AS", f", CASE WHEN {hit} THEN {sets[c]} END AS") for x, c in zip(new, [c["name"] for c in table["columns"] if c["name"] in sets])]
-        final = self.spark.sql(f"SELECT {ROW_ID}, {', '.join(items)} FROM (SELECT *, {hit} AS __hit{''.join(guarded)} {source})")
-        self.write(manifest, table, final)
+            new[column["name"]] = self.coerced(*lowering.expr(node, scope), column["type"])
+        if sets is not None:
+            sets += new
+        items = [f"{new[c['name']]} AS {quote(c['name'])}" if c["name"] in new else quote(c["name"]) for c in table["columns"]]
+        where = f" WHERE {lowering.filtered(s.parts['where'], scope)}" if s.parts["where"] else ""
+        return self.spark.sql(f"SELECT {', '.join([ROW_ID, *items])} FROM {relation(table, with_row_id=True).sql} AS {quote(s.name)}{where}")
+
+    def update(self, manifest: dict, s: Statement, params) -> int:
+        table, changed = find(manifest, "tables", s.name), []
+        new = self.rewritten(self.hits(manifest, table, s, params, changed))
+        affected = self.retire(table, new)
+        self.append(manifest, table, new, {c.lower() for c in changed})
         return affected
 
     def delete(self, manifest: dict, s: Statement, params) -> int:
         table = find(manifest, "tables", s.name)
-        hit = f"coalesce({self.lowering(manifest, params).condition(s.parts['where'], Scope([(s.name, columns_of(table))]))}, FALSE)" if s.parts["where"] else "TRUE"
-        source = f"FROM {relation(table, with_row_id=True).sql} AS {quote(s.name)}"
-        affected = self.spark.sql(f"SELECT count(*) {source} WHERE {hit}").first()[0]
-        self.write(manifest, table, self.spark.sql(f"SELECT * {source} WHERE NOT {hit}"))
+        if not s.parts["where"]:
+            affected, table["parts"] = sum(p["rows"] for p in table["parts"]), []
+            return affected
+        gone = self.hits(manifest, table, s, params)
+        affected = self.retire(table, gone)
+        self.append(manifest, table, gone.limit(0))
         return affected
 
-    def write(self, manifest: dict, table: dict, final: DataFrame) -> None:
-        """Writes the table anew as one part, checks it, and stages it in the manifest."""
-        staged = table | {"parts": []}
-        self.add_part(staged, final)
-        data = self.current(staged)
-        n, last = data.agg(F.count("*"), F.max(ROW_ID)).first()
-        staged["parts"][0]["rows"] = n
-        table["parts"], table["next_row"] = staged["parts"], max(table["next_row"], (last or 0) + 1)
-        self.check(manifest, table, data)
-
-    def check(self, manifest: dict, table: dict, data: DataFrame, stored: DataFrame | None = None) -> None:
-        """All rules on data; keys must not be among the stored rows either, which keep the rules themselves."""
+    def check(self, manifest: dict, table: dict, data: DataFrame, stored: DataFrame | None = None, changed: set[str] | None = None) -> None:
+        """All rules on data, or those that read a changed column; keys must not be among the stored rows either."""
+        concerns = lambda names: changed is None or not changed.isdisjoint(n.lower() for n in names)
+        if self.engine.enforce:
+            self.check_required(table, data, [c for c in table["columns"] if (c["required"] or c["primary"]) and concerns([c["name"]])])
         for keys in [table["primary"], *(table["unique"] if self.engine.enforce else [])]:
-            if keys:
+            if keys and concerns(keys):
                 self.check_unique(data, [quote(k) for k in keys], f"{table['name']}.{', '.join(keys)}", stored)
-        if self.engine.enforce:
-            for c in table["columns"]:
-                if (c["required"] or c["primary"]) and not data.filter(F.col(quote(c["name"])).isNull()).isEmpty():
-                    raise ConstraintError(f"NOT NULL constraint failed: {table['name']}.{c['name']}")
         for index in manifest["indexes"].values():
-            if index["table"] == table["name"].lower():
+            if index["table"] == table["name"].lower() and concerns(index["reads"]):
                 self.check_index(data, index, stored)
 
+    def check_required(self, table: dict, data: DataFrame, columns: list[dict]) -> None:
+        """One pass for all columns."""
+        if not columns or not self.engine.enforce:
+            return
+        missing = data.agg(*(F.max(F.col(quote(c["name"])).isNull()) for c in columns)).first()
+        for c, found in zip(columns, missing):
+            if found:
+                raise ConstraintError(f"NOT NULL constraint failed: {table['name']}.{c['name']}")
+
     def check_unique(self, data: DataFrame, exprs: list[str], what: str, stored: DataFrame | None = None) -> None:
         keyed = lambda df: df.alias("t").selectExpr(*(f"{e} AS k{i}" for i, e in enumerate(exprs))).dropna()
         new = keyed(data)
@@ -534,6 +578,14 @@ def _known(node, params: list) -> tuple[object, str] | None:
     return (known[0](node[1]), known[1]) if known else None
 
 
+def _renumbered(node, shift: int):
+    if isinstance(node, tuple) and node and node[0] == "param":
+        return ("param", str(int(node[1]) + shift))
+    if isinstance(node, (tuple, list)):
+        return type(node)(_renumbered(x, shift) for x in node)
+    return node
+
+
 def _columns(node):
     if isinstance(node, (tuple, list)):
         if node and node[0] == "column":
