@@ -4,13 +4,15 @@ Index: one posting (term, document, position) for each corpus word that is a ben
 table. Search: corpus counts from the index rank each window's terms; the two rarest are its anchors. The
 postings of the anchors, less the anchor's offset, give alignments (item, document, start); an alignment
 that two anchors share can hold a window, since a window brings both of its own. What is left is compared
-word by word, which gives exact phrase matches. Proximity matches are documents that hold most of an item's
+word by word with the postings of the documents concerned, which gives exact phrase matches: no text is read
+again, and no group of postings is collected. Proximity matches are documents that hold most of an item's
 RAREST rarest terms (all terms of a shorter item) within twice the item's length, in any order.
 
-The benchmark's terms and anchors are broadcast only if counted below BROADCAST_ROWS, else joined by a
-shuffle. Documents and items are told apart by a hash of id and text, so repeated ids do no harm. Null or
-empty text: no words. An item with a null id is not searched for. The documents' own columns travel under
-numbers, so no name of theirs can clash.
+The benchmark's terms and anchors, and the documents with alignments, are broadcast only if counted below
+BROADCAST_ROWS, else joined by a shuffle. Terms, documents and items are told apart by 64-bit hashes (of the word, of id
+and text), so repeated ids do no harm. Null or empty text: no words. An item with a null id is not searched for. Repeated
+rows each get the result. An empty table gives no rows, an empty benchmark no matches. The documents' own columns
+travel under numbers, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -81,37 +83,48 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: flo
     return _search(docs, benchmark, window, near).filter("not contaminated").select(*own)
 
 
+def _aligned(items: DataFrame, index: DataFrame) -> DataFrame:
+    """(item, doc, delta): where an item, begun at place delta of a document, can have a window."""
+    anchors = stored(anchors_of(items, index))
+    hits = index.join(_small(anchors), "term").select("item", "doc", (F.col("pos") - F.col("offset")).alias("delta"), "need")
+    found = hits.groupBy("item", "doc", "delta").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    return stored(found.filter("n >= need").select("item", "doc", "delta"))
+
+
+def windows_of(items: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc, item_id, place, length): the places in documents where a window of an item occurs."""
+    aligned = _aligned(items, index)
+    postings = index.join(_small(aligned.select("doc").distinct()), "doc", "left_semi")
+    own = items.select("item", "item_id", "length", F.size("item_words").alias("size"), F.posexplode("item_words").alias("offset", "word"))
+    wanted = aligned.join(own.withColumn("term", F.xxhash64("word")).drop("word"), "item").withColumn("pos", F.col("delta") + F.col("offset"))
+    same = wanted.join(postings, ["doc", "pos", "term"]).distinct()
+    first, last = F.greatest(F.col("offset") - F.col("length") + 1, F.lit(0)), F.least(F.col("offset"), F.col("size") - F.col("length"))
+    each = same.withColumn("start", F.explode(F.sequence(first, last)))
+    whole = each.groupBy("doc", "item", "item_id", "delta", "length", "start").agg(F.count("*").alias("n")).filter("n = length")
+    return whole.select("doc", "item_id", (F.col("delta") + F.col("start")).alias("place"), "length")
+
+
+def near_of(items: DataFrame, index: DataFrame, near: float) -> DataFrame:
+    """(doc, item_id): documents that hold most of an item's rarest terms close together."""
+    rarest = stored(rarest_of(items, index, near))
+    half = F.floor(2 * F.col("pos") / F.col("span"))
+    spans = index.join(_small(rarest), "term").withColumn("place", F.explode(F.array(half, half - 1)))
+    close = spans.groupBy("item", "doc", "place").agg(F.expr("bit_count(bit_or(shiftleft(1L, cast(number as int))))").alias("n"), F.max("n_terms").alias("of"))
+    return close.filter(F.col("n") >= F.ceil(F.col("of") * near)).select("item", "doc").distinct().join(items.select("item", "item_id"), "item").select("doc", "item_id")
+
+
 def _search(docs: DataFrame, benchmark: DataFrame, window: int, near: float) -> DataFrame:
     """The columns of docs as __c0, __c1 and so on, and RESULTS."""
     place = {c: F.col(f"__c{i}") for i, c in enumerate(docs.columns)}
-    numbered = docs.toDF(*(f"__c{i}" for i in range(len(docs.columns)))).withColumn("__doc", F.xxhash64(place["doc_id"], place["text"]))
+    numbered = docs.toDF(*(f"__c{i}" for i in range(len(docs.columns)))).withColumns({"__doc": F.xxhash64(place["doc_id"], place["text"]), "n_words": F.size(words(place["text"])).cast("long")})
     items = stored(items_of(benchmark, window))
     terms = stored(items.select(F.explode("item_words").alias("word")).select(F.xxhash64("word").alias("term")).distinct())
     index = build_index(docs, _small(terms))
-    anchors = stored(anchors_of(items, index))
-    hits = index.join(_small(anchors), "term").select("item", "doc", "pos", "offset", "need")
-    exact = hits.groupBy("item", "doc", (F.col("pos") - F.col("offset")).alias("delta")).agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need")
-    exact = exact.join(items, "item").select("doc", F.struct("item_id", "delta", "item_words", "length").alias("exact"), F.lit(None).cast("string").alias("near"))
-    half = F.floor(2 * F.col("pos") / F.col("span"))
-    rarest = stored(rarest_of(items, index, near))
-    spans = index.join(_small(rarest), "term").withColumn("place", F.explode(F.array(half, half - 1)))
-    close = spans.groupBy("item", "doc", "place").agg(F.expr("bit_count(bit_or(shiftleft(1L, cast(number as int))))").alias("n"), F.max("n_terms").alias("of"))
-    close = close.filter(F.col("n") >= F.ceil(F.col("of") * near)).select("item", "doc").distinct()
-    close = close.join(items, "item").select("doc", F.lit(None).cast(dict(exact.dtypes)["exact"]).alias("exact"), F.col("item_id").alias("near"))
-    found = exact.unionByName(close).groupBy("doc").agg(F.collect_list("exact").alias("__exact"), F.sort_array(F.collect_set("near")).alias("__near"))
-    joined = numbered.join(found.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    joined = joined.select(*place.values(), words(place["text"]).alias("__words"), "__exact", "__near")
-
-    def starts(a: Column) -> Column:
-        """The starts, in the item, of its windows that occur at this alignment."""
-        same = lambda s: F.slice("__words", F.greatest(a.delta + s + 1, F.lit(1)), a.length) == F.slice(a.item_words, s + 1, a.length)
-        return F.filter(F.sequence(F.lit(0), F.size(a.item_words) - a.length), lambda s: (a.delta + s >= 0) & same(s))
-
-    matches = F.transform("__exact", lambda a: F.struct(a.item_id.alias("item_id"), a.delta.alias("delta"), a.length.alias("length"), starts(a).alias("starts")))
-    matched = joined.withColumns({"n_words": F.size("__words").cast("long"), "__matches": F.coalesce(F.filter(matches, lambda m: F.size(m.starts) > 0), F.expr("array()").cast("array<struct<item_id:string,delta:int,length:int,starts:array<int>>>"))})
-    places = F.flatten(F.transform("__matches", lambda m: F.flatten(F.transform(m.starts, lambda s: F.sequence(m.delta + s, m.delta + s + m.length - 1)))))
-    hit = F.size(F.array_distinct(places)).cast("long")
-    ids = F.array_sort(F.array_distinct(F.transform("__matches", lambda m: m.item_id)))
-    near_ids = F.coalesce("__near", F.expr("array()").cast("array<string>"))
-    out = matched.withColumns({"n_hit": hit, "item_ids": ids, "n_near": F.size(near_ids).cast("long"), "near_ids": near_ids})
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("__words", "__exact", "__near", "__matches")
+    windows = stored(windows_of(items, index))
+    hit = windows.select("doc", F.explode(F.sequence("place", F.col("place") + F.col("length") - 1)).alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
+    ids = windows.select("doc", "item_id", F.lit(True).alias("exact")).distinct().unionByName(near_of(items, index, near).distinct().withColumn("exact", F.lit(False)))
+    named = ids.groupBy("doc").agg(*(F.sort_array(F.collect_list(F.when(F.col("exact") == e, F.col("item_id")))).alias(c) for e, c in ((True, "item_ids"), (False, "near_ids"))))
+    found = stored(named.join(hit, "doc", "left")).withColumnRenamed("doc", "__doc")
+    none = F.expr("array()").cast("array<string>")
+    out = numbered.join(found, "__doc", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", none), "near_ids": F.coalesce("near_ids", none)})
+    return out.withColumns({"n_near": F.size("near_ids").cast("long"), "contaminated": F.col("n_hit") > 0}).drop("__doc")
