@@ -19,7 +19,7 @@ r AS (
     {_SAFE.format('text')} || '<|im_end|>' AS body
   FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
 )
-SELECT conv_id, perspective, part, count(*) AS n_messages,
+SELECT conv_id, perspective, part, '' AS piece, count(*) AS n_messages,
   string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS text,
   string_agg(length(head) || '- ' || length(body) || train || ' 1-', ' ' ORDER BY turn, role, text) AS mask
 FROM r GROUP BY conv_id, perspective, part

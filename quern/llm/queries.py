@@ -16,7 +16,7 @@ from quern.sources.shared import new_folder
 
 def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.transform("mask", lambda r: F.concat(r.n.cast("string"), F.when(r.train, "t").otherwise("-")))
-    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(runs, " "))
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumns({"mask": F.array_join(runs, " "), "piece": F.array_join("piece", "/")})
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
