@@ -1,19 +1,21 @@
-"""Exact substring dedup over bytes, by distributed rank rounds over growing prefixes (operator 9).
+"""Exact substring dedup over bytes, by rounds over growing prefixes at synchronised places (operator 9).
 
 Prefix doubling ranks every position by its first bytes, pairs ranks at growing offsets and drops a
-position as soon as its rank is unique or its prefix passes the threshold. Here the same rounds run over
-synchronised positions only, since ranks for every byte would take many times the input on disk:
+position as soon as its rank is unique or its prefix passes the threshold. Here the rounds grow prefixes and drop
+places in the same way, but hashes of byte ranges stand for ranks, and only synchronised places take part, since a
+rank for every byte would take many times the input on disk:
 
 0. Anchors: in each 400-byte string, the place of the least 32-byte hash among its first 192 places. Equal
-   strings have equal anchors, so ranking anchors is enough.
-1. Rank by the 209 bytes from the anchor on, which every string of this anchor holds. Unique: dropped.
-2. Rank pairs (337 bytes that all strings of one 64-byte block of starts hold, the bytes of all those
+   strings have equal anchors, so comparing anchors is enough.
+1. Compare the 209 bytes from the anchor on, which every string of this anchor holds. Unique: dropped.
+2. Compare pairs (337 bytes that all strings of one 64-byte block of starts hold, the bytes of all those
    strings together). First unique: dropped. Second repeated: all these strings repeat. Else, the edge of
-   a repeat: every block of that first rank goes on.
-3. Rank the single 400-byte strings of what goes on: those that occur twice repeat.
+   a repeat: every block with that first hash goes on.
+3. Compare the single 400-byte strings of what goes on: those that occur twice repeat.
 
-Ranks are 64-bit keys, so equal keys stand for equal bytes. Buckets sort the keys; each shard sends a key
-once, with its number of places. Null or empty text: no bytes. Strings never cross documents.
+Equal 64-bit hashes stand for equal bytes. Buckets sort them; each shard sends a hash once, with its number of
+places. Null or empty text: no bytes. Strings never cross documents. Repeated rows are documents of their own, so
+their strings occur elsewhere, null ids too. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -187,7 +189,7 @@ def _twice(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _verdict(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """0: the first rank is unique; 1: the second repeats, as it does for all of this first rank; 2: it repeats, for some not; 3: it is unique."""
+    """0: the first hash is unique; 1: the second repeats, as it does for all of this first hash; 2: it repeats, for some not; 3: it is unique."""
     start, number, _ = _pairs(keys, pairs["key"])
     same = np.bincount(number, weights=pairs["n"], minlength=len(start))[number]
     group = totals(keys, pairs["n"])
