@@ -32,7 +32,7 @@ from quern.llm.common import column_bytes, ids_of, pieces, plan_bytes
 
 SHARD_BYTES = 4 << 20  # of input, the documents of a shard
 BUCKET_BYTES = 16 << 20  # of input, whose keys a bucket holds
-FAN = 512
+FAN = 2048  # rows that a shard or relay sends in one hop at most
 
 MESSAGE = "node long, sender long, keys binary, aux binary"
 ANSWER = "node long, sender long, data binary, note binary"

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 
-from quern.llm import bpe, chat, cotrain, quality, sharding, suffix
+from quern.llm import bpe, chat, cotrain, quality, sharding, simhash, suffix
 
 
 def test_shards_hold_nearly_equal_bytes_and_few_slots_move(spark):
@@ -102,3 +102,63 @@ def test_long_messages_in_chat(spark):
     out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(out) == 2 * 4 and sum(r.n_messages for r in out) == 400
     assert {sum(n for n, _ in r.mask) == len(r.text) for r in out} == {True}
+
+
+def test_parts_of_many_messages_come_in_pieces(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None, int(rng.integers(0, 3)) if i % 4 else None, f"r{i % 3}", f"t{rng.integers(0, 40)}") for i in range(900)] + [(None, 1, "r0", "same")] * 300
+    rows += [(7, i, f"r{i % 2}", f"x{i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    small = chat.rotate(frame, most=50).collect()
+    assert max(r.n_messages for r in small) <= 150 and len(small) > 40
+    whole = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(frame).collect()}
+    got = {}
+    for r in sorted(small, key=lambda r: r.piece):
+        got.setdefault((r.conv_id, r.perspective, r.part), []).append(r)
+    assert set(got) == set(whole)
+    for key, want in whole.items():
+        messages = lambda text: sorted(text.split("<|im_end|>\n"))
+        assert messages("".join(r.text for r in got[key])) == messages(want.text)
+        assert sum(r.n_messages for r in got[key]) == want.n_messages
+        assert all(sum(n for n, _ in r.mask) == len(r.text) for r in got[key])
+    assert {tuple(r.piece) for r in small if r.conv_id == 7} == {()}
+
+
+def test_large_balls_in_blocks_and_more_parts(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**63, 3).astype(np.uint64)
+    points = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64)) for c in centre] + [rng.integers(0, 2**63, 200).astype(np.uint64)]))
+    nodes = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+
+    def groups(edges):
+        root = {int(p): int(p) for p in points.view(np.int64)}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in edges:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+        return [find(int(p)) for p in points.view(np.int64)]
+
+    every = [(int(points.view(np.int64)[i]), int(points.view(np.int64)[j])) for i in range(len(points)) for j in range(i) if (int(points[i]) ^ int(points[j])).bit_count() <= 4]
+    want = groups(every)
+    assert groups(map(tuple, simhash.links(nodes, largest=16).collect())) == want
+    assert [simhash.parts(n, 4) for n in (10**6, 10**8, 10**10, 10**12)] == [6, 7, 8, 10]
+    simhash_parts, simhash.parts = simhash.parts, lambda n, radius: 8
+    try:
+        assert groups(map(tuple, simhash.links(nodes).collect())) == want
+    finally:
+        simhash.parts = simhash_parts
+
+
+def test_encoding_stage_returns_its_own_columns_only(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b", 9, "x"), (None, None, None, None), (1, "a b", 9, "x")], "doc_id long, text string, n_tokens long, ids string")
+    out = corpus_pipeline.encoding(spark, docs, "")
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert sorted(((r.doc_id, r.n_tokens, len(r.ids)) for r in out.collect()), key=repr) == [(1, 2, 2), (1, 2, 2), (None, 0, 0)]
+    assert corpus_pipeline.encoding(spark, docs.limit(0), "").count() == 0
