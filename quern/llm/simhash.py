@@ -4,22 +4,25 @@ Fingerprints: 64 bits, by majority over the XXH64 hashes of the word shingles, r
 fingerprints link if they differ in at most RADIUS bits; groups are the connected components.
 
 Random fingerprints all lie about 32 bits, give or take 4, from any vantage point, so a vantage cut of the
-whole space with an overlap of 4 keeps most points on both sides (see README). The first cut therefore uses
-vantage points in projections: the 64 bits are cut in RADIUS + 2 parts; of two fingerprints within RADIUS,
-two parts at least are equal, so the pair meets in the ball of distance zero around the vantage value of
-one of the 15 pairs of parts. Each such ball is a shard; a fingerprint lies in 15, so shards overlap. Within
-a large ball a vantage-point tree cuts by Hamming distance: the inner side takes all within m + RADIUS of
+whole space with an overlap of 4 keeps most points on both sides (see README). Candidate search is therefore
+banding: the 64 bits are cut in RADIUS + 2 parts (more for more fingerprints, so that balls of random ones stay
+small); of two fingerprints within RADIUS, all parts but RADIUS of some choice are equal, so the pair meets
+in the ball of that choice. A fingerprint lies in one ball of each choice (15 at six parts), so balls overlap. Within
+a ball of over 256 points a vantage-point tree cuts by Hamming distance: the inner side takes all within m + RADIUS of
 the vantage point, the outer all beyond m, and by the triangle inequality no linked pair is lost. Leaves
 grow components from each point among those not reached yet, so a dense group of m points costs about m
-comparisons, and only one edge for each member leaves the leaf, never all pairs.
+comparisons, and only one edge for each member leaves the leaf, never all pairs. A ball of over BALL points is
+cut in blocks, each two of which meet in a task.
 
 Equal fingerprints are one node. Components of the edges come from alternating star steps over written tables.
-Null or empty text: fingerprint zero. A null doc_id gets its group's smallest id but is never one.
+Null or empty text: fingerprint zero. A null doc_id gets its group's smallest id but is never one. Repeated rows
+each get the result. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from quern.llm.common import column_bytes, pieces, stored
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 _LEAF = 256
+BALL = 20_000  # fingerprints of one ball that one task takes at most
 
 
 def fingerprint(text: bytes, n: int = SHINGLE) -> int:
@@ -59,12 +63,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _ball_keys(radius: int) -> Column:
-    """The keys of the balls of a fingerprint: two of radius + 2 parts of its bits, with the pair's number."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
+def parts(n: int, radius: int) -> int:
+    """In how many parts to cut fingerprints so that a ball of n random ones holds few: with more, more of them are equal."""
+    p = radius + 2
+    while p < 2 * radius + 2 and n >> (64 * (p - radius) // p) > 4:
+        p += 1
+    return p
+
+
+def _ball_keys(radius: int, n_parts: int) -> Column:
+    """The keys of the balls of a fingerprint: all but `radius` of the parts of its bits, with their choice's number."""
+    cuts = [64 * i // n_parts for i in range(n_parts + 1)]
     part = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
-    return F.array(*(F.shiftleft(F.shiftleft(part[i], 11).bitwiseOR(part[j]), 6).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(itertools.combinations(range(n), 2))))
+    return F.array(*(F.xxhash64(F.lit(k), *(part[i] for i in chosen)) for k, chosen in enumerate(itertools.combinations(range(n_parts), n_parts - radius))))
 
 
 def near(x: np.ndarray, y) -> np.ndarray:
@@ -103,9 +114,11 @@ def tree_links(points: np.ndarray, radius: int = RADIUS, leaf: int = _LEAF) -> l
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, rows_per_task: int = 50_000) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, rows_per_task: int = 50_000, largest: int = BALL) -> DataFrame:
     """Edges (u, v), u < v, between distinct fingerprints; they connect all that lie within the radius."""
-    n = pieces(nodes.count() * (radius + 2) * (radius + 1) // 2, rows_per_task)
+    count = nodes.count()
+    n_parts = parts(count, radius)
+    n = pieces(count * math.comb(n_parts, radius), rows_per_task)
 
     def run(group: pa.Table) -> pa.Table:
         key, fp = group["key"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
@@ -127,8 +140,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, rows_per_task: int = 50_000) -
         u, v = (np.concatenate(x).astype(np.uint64).view(np.int64) if x else np.zeros(0, np.int64) for x in (u, v))
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    keyed = nodes.select(F.explode(_ball_keys(radius)).alias("key"), "fp").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
-    return keyed.groupBy("task").applyInArrow(run, "u long, v long").distinct()
+    keyed = nodes.select(F.explode(_ball_keys(radius, n_parts)).alias("key"), "fp")
+    large = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > largest))
+    if not large.isEmpty():  # a large ball is cut in blocks; each two of them meet in a ball of their own
+        blocks = F.ceil(F.col("size") / largest).cast("int")
+        own = F.pmod(F.xxhash64(F.lit("block"), "fp"), blocks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.xxhash64("key", F.least(other, own), F.greatest(other, own)))
+        keyed = keyed.join(large, "key", "left").select(F.explode(F.when(F.col("size").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp")
+    return keyed.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).groupBy("task").applyInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,9 +156,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.union(edges.selectExpr("v u", "u v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").selectExpr("m u", "v").filter("u < v").distinct()
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
+        # the minima are written, so that both sides of each join are plain shuffles, which adaptive execution can split
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stored(both.join(least, "u").filter("v > u").selectExpr("m u", "v").filter("u < v").distinct())
+        down = stored(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(down, "v").select(F.col("m"), F.explode(F.array("u", "v")).alias("v")).filter("m < v").selectExpr("m u", "v").distinct()
         edges = stored(small)
         new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -148,12 +168,19 @@ def components(edges: DataFrame) -> DataFrame:
         mark = new
 
 
+def smallest(named: DataFrame, node: str) -> DataFrame:
+    """(node, component_id) from (node, first, root): the least `first` of each root, written before it is joined, so
+    that a root with many nodes can be split."""
+    named = stored(named)
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    return named.join(least, "root").select(node, "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id of the group)."""
     prints = stored(fingerprints(docs, shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
+    of = smallest(named, "fp")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
