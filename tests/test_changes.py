@@ -53,6 +53,18 @@ def test_changes_after_columns_came_and_went(s):
     assert rows(s, "SELECT * FROM t ORDER BY id") == [(2, 7), (3, 11)]
 
 
+def test_files_are_sorted_by_key(s, spark):
+    s.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT)")
+    s.execute("INSERT INTO t VALUES " + ", ".join(f"({i * 37 % 101}, 'a')" for i in range(60)))
+    s.execute("INSERT INTO t VALUES " + ", ".join(f"({1000 - i}, 'b')" for i in range(60)))
+    (part,) = s.manifest()["tables"]["t"]["parts"]
+    files = sorted(f for f in os.listdir(part["path"]) if f.endswith(".parquet"))
+    ids = [[r.id for r in spark.read.parquet(f"{part['path']}/{f}").collect()] for f in files]
+    assert sum(map(len, ids)) == 120 and all(x == sorted(x) for x in ids)
+    spans = sorted((x[0], x[-1]) for x in ids if x)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_statements_of_a_transaction_share_the_marks(s):
     s.execute("CREATE TABLE t (id INTEGER PRIMARY KEY); INSERT INTO t VALUES (1), (2), (3), (4), (5)")
     other = s.engine.create_session()
