@@ -1,7 +1,7 @@
 """SQL for the training-data queries that SQL can express.
 
-Not expressed: operators 4 (models), 6 (merges by rank), 7 (64-bit keys would do, but sums of logarithms differ in their last
-digits), 8 (XXH64 and components) and 10 (the slots' hash). tests/llm compares those with brute force.
+Not expressed: operators 4 (models), 6 (merges by rank), 7 (sums of logarithms differ in their last digits), 8 (XXH64 and
+components) and 10 (the slots' hash). tests/llm compares those with brute force.
 """
 
 from quern.llm.quality import MAX_REPEATED, MIN_WORDS, PRIOR, RATES, UNIT
@@ -102,4 +102,19 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce
 FROM split LEFT JOIN kept ON split.r = kept.r
 """
 
-ORACLES = {"op1_chat_rotation": OP1, "op2_quality_rules": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5}
+OP9 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+piece AS (SELECT r, n, base, substr(h, 2 * base + 1, 2 * (500 + 399)) AS part FROM (SELECT *, unnest(range(0, n - 399, 500)) AS base FROM d WHERE n >= 400)),
+win AS (SELECT r, base + j AS s, md5(substr(part, 2 * j + 1, 800)) AS key FROM (SELECT *, unnest(range(0, least(500, n - 399 - base))) AS j FROM piece)),
+hit AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY key) AS c FROM win) WHERE c > 1),
+step AS (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 400 THEN 0 ELSE 1 END AS new FROM hit),
+span AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS k FROM step) GROUP BY r, k),
+edge AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_, b FROM span),
+cut AS (SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM span GROUP BY r),
+kept AS (SELECT e.r, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS h FROM edge e JOIN d ON e.r = d.r GROUP BY e.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN cut.r IS NULL THEN d.h ELSE kept.h || substr(d.h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON d.r = cut.r LEFT JOIN kept ON d.r = kept.r
+"""
+
+ORACLES = {"op1_chat_rotation": OP1, "op2_quality_rules": OP2, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op9_suffix_dedup": OP9}

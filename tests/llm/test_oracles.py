@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def awkward(spark, folder):
     line = " ".join(f"p{i}" for i in range(16))
     long = " ".join(f"v{(i * i) % 211}é" for i in range(4000))
-    texts = [None, "", " \n\t ", "one", line, line, "x " + line + " y", line.upper(), "a a a " * 40, "l\nl\nl\nm # $ %", "漢字 " * 60, long, long + " end", "Ünï cödé\x0bmix \U0001f600 a-b_c", "# " * 70]
+    texts = [None, "", " \n\t ", "one", line, line, "x " + line + " y", line.upper(), "a a a " * 40, "l\nl\nl\nm # $ %", "漢字 " * 60, long, long + " end", "Ünï cödé\x0bmix \U0001f600 a-b_c", "# " * 70, "é" * 450, "é" * 200 + "z", "start " + line * 9, line * 9 + "!"]
     docs = [(i, t, "en" if i % 3 else None, f"s{i % 2}", 0) for i, t in enumerate(texts + texts[3:8])]
     items = [(1, line), (2, "P3 p4"), (3, None), (4, "..."), (5, long[4000:4600]), (6, "zebra nowhere"), (None, "one"), (7, "p9 p2 p1 p0")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
