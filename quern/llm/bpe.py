@@ -18,12 +18,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 
 from quern.llm.common import column_bytes
 
 LEAF = 256  # characters
+PIECE = 4 << 20  # bytes of text whose ids are held at once
 _coders: dict[int, Coder] = {}
 
 
@@ -82,6 +84,16 @@ def coder(ranks: bytes, pattern: str, leaf: int) -> Coder:
     return _coders[key]
 
 
+def _pieces(batch: pa.RecordBatch):
+    """The rows of a batch in slices of about PIECE bytes of text."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + PIECE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF, with_ids: bool = True, with_decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; ids (array) and decoded (binary) on request."""
     with open(ranks_path, "rb") as f:
@@ -90,21 +102,23 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, leaf: int =
     def run(batches):
         own = coder(ranks, pattern, leaf)
         for batch in batches:
-            n, digests, back, all_ids, decoded = [], [], [], [], []
-            for text in column_bytes(batch["text"]):
-                ids = own.encode(text.decode())
-                out = own.decode(ids)
-                n.append(len(ids))
-                digests.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                back.append(hashlib.sha256(out).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
-                if with_decoded:
-                    decoded.append(out)
-            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
-            columns += [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
-            columns += [pa.array(decoded, pa.binary())] if with_decoded else []
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in _pieces(batch):
+                n, digests, back, all_ids, decoded = [], [], [], [np.zeros(0, np.int32)], []
+                for text in column_bytes(part["text"]):
+                    ids = own.encode(text.decode())
+                    out = own.decode(ids)
+                    n.append(len(ids))
+                    packed = np.array(ids, "<u4")
+                    digests.append(hashlib.sha256(packed).hexdigest())
+                    back.append(hashlib.sha256(out).hexdigest())
+                    if with_ids:
+                        all_ids.append(packed.astype(np.int32))
+                    if with_decoded:
+                        decoded.append(out)
+                columns = [part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+                columns += [pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), np.concatenate(all_ids))] if with_ids else []
+                columns += [pa.array(decoded, pa.binary())] if with_decoded else []
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded binary" * with_decoded
     names = [x.split()[0] for x in schema.split(", ")]

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import column_bytes, ids_of, pieces, plan_bytes
 
 SHARD_BYTES = 4 << 20  # of input, the documents of a shard
-BUCKET_BYTES = 16 << 20  # of input, whose keys a bucket holds
-FAN = 2048  # rows that a shard or relay sends in one hop at most
+BUCKET_BYTES = 8 << 20  # of input, whose keys a bucket holds
+FAN = 4096  # rows that a shard or relay sends in one hop at most
 
 MESSAGE = "node long, sender long, keys binary, aux binary"
 ANSWER = "node long, sender long, data binary, note binary"
@@ -266,7 +266,7 @@ def totals(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each entry, the sum of the weights of all entries with its key."""
     order = np.argsort(keys, kind="stable")
     starts = runs(keys[order])
-    sums = np.add.reduceat(weights[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(weights[order], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
     out = np.empty(len(keys), np.int64)
     out[order] = np.repeat(sums, np.diff([*starts, len(keys)]))
     return out
