@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of shingle sets (the pipeline's near-dedup stage).
+"""Near copies by SimHash, confirmed by exact similarity of shingle sets, and the rest (the pipeline's near-dedup stage).
 
 Documents link if the Jaccard similarity of their sets of five-word shingles is at least 4/5; groups are the
 connected components. No pair is lost to an estimate:
@@ -6,16 +6,18 @@ connected components. No pair is lost to an estimate:
 1. A round of key buckets counts the documents of each shingle, which orders all shingles, rarest first. Of two
    sets within 4/5, each has at least 4/5 of its own shingles in common with the other, so they share one of
    the rarest fifth (and one more) of both. A document whose rarest fifth no other document holds is done.
-2. Documents that share such a shingle are chained to the least of them, and alternating stars give coarse
-   components: no linked pair lies in two of them.
-3. The sets of a coarse component meet in one task, which compares them exactly, growing groups among those not
-   reached yet, so a dense group of m sets never makes m^2 rows. A component of over LARGEST sets is first compared with
+2. SimHash, as in operator 8, of the others: fingerprints by majority over the shingles' keys, balls of equal parts,
+   vantage-point trees in large balls. Fingerprints within RADIUS bits of each other (fewer for more fingerprints, so that
+   random ones do not chain), and chains of them, are candidates.
+3. The sets of a group of candidates meet in one task, which compares them exactly, growing groups among those not
+   reached yet, so a dense group of m sets never makes m^2 rows. A group of over LARGEST sets is first compared with
    its least set, each set by itself. What is within 4/5 of that is one group; only the sets outside of it must still be
    compared with all. They are cut in blocks of LARGEST, as all are, and each block of the ones meets each of the others
    in a task. So a large group of near copies costs a comparison for each, and no task holds more than two blocks.
-
-SimHash is no help at this similarity: two sets at 4/5 differ in 9.7 of 64 bits on average (standard deviation
-2.9), and no cut into parts finds pairs at such a radius.
+4. The rest: two sets at 4/5 differ in 9.7 of 64 bits on average (standard deviation 2.9), so SimHash misses some at any
+   radius that still tells texts apart. Documents that share a shingle of step 1 are chained to the least of them, and
+   alternating stars give coarse components: no linked pair lies in two of them. A coarse component that step 3 has made
+   one group is done, the sets of the others are compared as in step 3, and both steps' links are joined.
 
 Words are those of operator 8 (ASCII lower case, cut at ASCII whitespace); fewer than five are one shingle.
 Words, shingles and equal sets are told apart by 64-bit keys. Null or empty text: the empty set, all equal. A null
@@ -24,6 +26,8 @@ doc_id gets its group's smallest id but is never one.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,13 +37,15 @@ from pyspark.sql import functions as F
 from quern.llm.common import stored, window_hash
 from quern.llm.exchange import Batch, Shards, answers, messages, totals
 from quern.llm.rolling import words_of
-from quern.llm.simhash import components, smallest
+from quern.llm.simhash import components, links, majority, smallest
 
 SHINGLE = 5
 PART, WHOLE = 4, 5  # least similarity: PART / WHOLE
 LARGEST = 1000  # sets of one block
+RADIUS = 12  # bits
+_BALL = 4096  # random fingerprints of a ball, about, before they are cut in more parts
 
-_PRINTS = "doc_id long, node long, tokens array<long>, keys binary"
+_PRINTS = "doc_id long, node long, tokens array<long>, keys binary, fp long"
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
@@ -128,6 +134,27 @@ def linked_sets(sets: DataFrame, coarse: DataFrame, largest: int = LARGEST) -> D
     return components(edges.selectExpr("node u", "root v"))
 
 
+def widest(n: int, radius: int = RADIUS) -> int:
+    """The largest radius at which n random fingerprints have a tenth of a neighbour each at most."""
+    while radius > 4 and 10 * n * sum(math.comb(64, k) for k in range(radius + 1)) > 2**64:
+        radius -= 1
+    return radius
+
+
+def print_groups(nodes: DataFrame) -> DataFrame:
+    """(node, coarse): groups of two or more nodes (node, fp) whose fingerprints are chained by steps within the radius."""
+    roots = components(links(nodes.select("fp").distinct(), widest(nodes.count()), few=_BALL))
+    named = stored(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("coarse")))
+    return named.join(named.groupBy("coarse").agg(F.count("*").alias("size")).filter("size > 1").select("coarse"), "coarse").select("node", "coarse")
+
+
+def not_joined(coarse: DataFrame, linked: DataFrame) -> DataFrame:
+    """The coarse components (node, coarse) that links (node, root) have not made one group."""
+    roots = coarse.join(linked, "node", "left").select("coarse", F.coalesce("root", "node").alias("root"))
+    apart = roots.groupBy("coarse").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    return coarse.join(apart.select("coarse"), "coarse").select("node", "coarse")
+
+
 def near_copies(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
     """doc_id, component_id (smallest doc_id of the group)."""
     shards = Shards(docs)
@@ -142,7 +169,7 @@ def near_copies(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
         sets = shingle_sets(batch.texts)
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
         counts, _ = answers(got, "u4")
-        nodes, tokens, kept, seen = [], [], [], set()
+        nodes, tokens, kept, fps, seen = [], [], [], [], set()
         for keys in sets:
             node = xxhash.xxh3_64_intdigest(keys.tobytes())
             nodes.append(node)
@@ -150,19 +177,22 @@ def near_copies(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
             seen.add(node)
             tokens.append(few.view(np.int64).tolist())
             kept.append(keys.tobytes() if len(few) else None)
+            fps.append(np.uint64(majority(keys)).view(np.int64) if len(few) else None)
         ids = batch.rows["doc_id"].combine_chunks()
-        columns = [ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(tokens, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-        return pa.table(columns, names=["doc_id", "node", "tokens", "keys"])
+        columns = [ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(tokens, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(fps, pa.int64())]
+        return pa.table(columns, names=["doc_id", "node", "tokens", "keys", "fp"])
 
     route = shards.route
     counted = shards.decide(shards.first(held), "u4", lambda keys, n: np.minimum(totals(keys, n), 2**32 - 1).astype(np.uint32))
     prints = stored(shards.again(counted, chosen, _PRINTS))
+    sets = prints.filter("keys is not null").dropDuplicates(["node"])
+    confirmed = stored(linked_sets(sets.select("node", "keys"), stored(print_groups(stored(sets.select("node", "fp")))), largest))
     least = F.min("node").over(Window.partitionBy("token"))
     shared = prints.select("node", F.explode("tokens").alias("token")).distinct().select(least.alias("u"), F.col("node").alias("v"))
     coarse = components(shared.filter("u < v"))
     coarse = coarse.union(coarse.selectExpr("root node", "root")).distinct().selectExpr("node", "root coarse")
-    sets = prints.filter("keys is not null").select("node", "keys").dropDuplicates(["node"])
-    linked = stored(linked_sets(sets, coarse, largest))
+    rest = linked_sets(sets.select("node", "keys"), stored(not_joined(coarse, confirmed)), largest)
+    linked = stored(components(confirmed.union(rest).filter("node <> root").selectExpr("node u", "root v")))
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(linked, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = smallest(nodes, "node")
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

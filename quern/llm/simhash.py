@@ -48,6 +48,11 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
         hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[n - 1 :].tolist())], "<u8")
     else:
         hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -63,10 +68,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
 
 
-def parts(n: int, radius: int) -> int:
+def parts(n: int, radius: int, few: int = 4) -> int:
     """In how many parts to cut fingerprints so that a ball of n random ones holds few: with more, more of them are equal."""
     p = radius + 2
-    while p < 2 * radius + 2 and n >> (64 * (p - radius) // p) > 4:
+    while p < 2 * radius + 2 and n >> (64 * (p - radius) // p) > few:
         p += 1
     return p
 
@@ -114,10 +119,10 @@ def tree_links(points: np.ndarray, radius: int = RADIUS, leaf: int = _LEAF) -> l
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, rows_per_task: int = 50_000, largest: int = BALL) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, rows_per_task: int = 50_000, largest: int = BALL, few: int = 4) -> DataFrame:
     """Edges (u, v), u < v, between distinct fingerprints; they connect all that lie within the radius."""
     count = nodes.count()
-    n_parts = parts(count, radius)
+    n_parts = parts(count, radius, few)
     n = pieces(count * math.comb(n_parts, radius), rows_per_task)
 
     def run(group: pa.Table) -> pa.Table:
