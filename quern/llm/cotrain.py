@@ -32,6 +32,7 @@ ROUNDS, CONFIDENT = 2, 0.98
 SIGNIFICANT = {"content": 4.0, "metadata": 1.0}  # standard errors
 REJECT = np.array([0.5, 0.3])  # probabilities of low quality and of toxic content above which a document goes
 MAX_TRAINING = 6000  # labelled documents that a fit uses at most, and as many pseudo-labelled ones
+SLICE = 500  # documents of a batch that a worker handles at once; no result depends on it
 VIEWS, TARGETS = ("content", "metadata"), ("low_quality", "toxic")
 SIZE = {"content": 1 << 16, "metadata": 1 << 12}
 FOLDS = 5  # one fold of the labelled documents calibrates, the others train
@@ -63,9 +64,16 @@ def metadata(text: bytes, lang: str | None, source: str | None) -> bytes:
     return _ids((f"{k}={v}".encode() for k, v in found.items()), SIZE["metadata"])
 
 
+def _slices(batches):
+    """Small slices of Spark's batches: lists and arrays of all features of a batch of 10,000 documents take 100 MB and more."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def features(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts = column_bytes(batch["text"])
             rows = zip(texts, batch["lang"].to_pylist(), batch["source"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([content(t) for t in texts], pa.binary()), pa.array([metadata(*r) for r in rows], pa.binary())], ["doc_id", *VIEWS])
@@ -133,7 +141,7 @@ def _telling(data: DataFrame) -> dict[str, np.ndarray]:
 
     def run(batches):
         slots = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             truth, held = _truth(batch)
             truth[held] = -1
             for v in VIEWS:
@@ -203,7 +211,7 @@ def pseudo(data: DataFrame, model: Model) -> DataFrame:
     """The documents, out of all given, on which at least one view is confident of at least one target."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             p = np.concatenate([_sigmoid(model.logits(v, batch[v])) for v in VIEWS], 1)
             yield batch.filter(pa.array(((p >= CONFIDENT) | (p <= 1 - CONFIDENT)).any(1)))
 
@@ -216,7 +224,7 @@ def _calibrate(data: DataFrame, model: Model) -> Model:
 
     def run(batches):
         slots = np.zeros(shape, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             truth, held = _truth(batch)
             for v, view in enumerate(VIEWS):
                 raw = model.raw(view, batch[view])
@@ -277,7 +285,7 @@ def score(data: DataFrame, model: Model) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             logits = {v: model.logits(v, batch[v]) for v in VIEWS}
             both = _sigmoid(sum(logits.values()) - model.prior)
             each = [pa.array(_sigmoid(logits[v][:, k])) for v in VIEWS for k in range(len(TARGETS))]
@@ -297,7 +305,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataF
     model = fit(prepare(docs, labels), rounds)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = list(zip(column_bytes(batch["text"]), batch["lang"].to_pylist(), batch["source"].to_pylist()))
             logits = model.logits("content", pa.array([content(r[0]) for r in rows], pa.binary())) + model.logits("metadata", pa.array([metadata(*r) for r in rows], pa.binary()))
             yield batch.filter(pa.array((_sigmoid(logits - model.prior) <= REJECT).all(1)))
